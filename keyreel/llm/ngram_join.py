@@ -12,10 +12,13 @@ signatures for them too, so no pair is missed (arguments beside the code).
 
 Signatures leave a task as sorted, delta-coded blobs, one for each bucket of the
 signature space: about six bytes each. A bucket's reducer returns the signatures of two
-classes or more. Signatures of over `hot` classes are left out for classes that have fewer
-than `slack` of them: those share another signature with any partner. The rest are compared
-with one class of each signature at first, which joins most classes of a large group
-in linear time; only pairs of classes still in different components are compared after that.
+classes or more. A class with fewer than `slack` such signatures in a group has no partner
+there and leaves it, and with it most that share just a passage. The rest are compared with
+one class of each signature, the least and then a hashed one, which joins large groups in
+linear time. Signatures whose classes are then in different components are linked to blocs;
+in a bloc, classes outside its largest component are compared, tile by tile, with the classes
+of other components. Before two texts meet, counts of their shingles by hash cell bound the
+intersection from above; only pairs that this bound lets pass are read and compared exactly.
 
 Rows: null text, or without a word: empty set, never linked. Null doc_id: never linked,
 component null. Rows with the same doc_id count as one node. Other columns are ignored.
@@ -28,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyreel.llm.common import connected_components, cut, cut_table
 from keyreel.llm.textbytes import BYTE_VALUES, buffers, distinct_shingles, mix, pieces
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 SIG_HASH_BITS = 48
 _RANK = mix(BYTE_VALUES.copy())
 
@@ -62,7 +65,7 @@ class Bands:
         return a + b - 2 * least
 
     def slack(self, g: int) -> int:
-        return 1 + min(7, self.low[g] // 24)
+        return 1 + min(100, self.low[g] // 10)
 
     def most(self, a: int, g: int) -> int:
         """Bound of the difference of a set of size a to any partner of group g.
@@ -187,7 +190,7 @@ def _bucket_of(sig: np.ndarray, n: int) -> np.ndarray:
 
 
 def _emit(n_buckets: int, num: int, den: int):
-    flush = 4_000_000
+    flush = 1_500_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -281,6 +284,43 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared(blobs)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size and counts of the shingles in hash cells, at most one to a cell on average."""
+    for batch in batches:
+        buf, off = buffers(batch.column(1))
+        sizes, data = [], []
+        for i, j in pieces(off, PIECE):
+            h, _, n = distinct_shingles(buf, off[i : j + 1])
+            at = 0
+            for m in n.tolist():
+                cells = 1 << max(3, m.bit_length())
+                count = np.bincount((h[at : at + m] >> np.uint64(24)).astype(np.int64) & (cells - 1), minlength=cells)
+                sizes.append(m)
+                data.append(count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else None)
+                at += m
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["node", "n", "cells"])
+
+
+def _may_link(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                most = min(n, m)
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    if len(x) > len(y):
+                        x, y = y, x
+                    if len(x) < len(y):
+                        y = y.reshape(-1, len(x)).sum(axis=0)
+                    most = int(np.minimum(x, y).sum())
+                ok.append(den * most >= num * (n + m - most))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,20 +353,99 @@ def candidates(docs: DataFrame, n_buckets: int, num: int = 75, den: int = 100) -
     return blobs.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, "sig long, set_key long")
 
 
-def _drop_hot(cand: DataFrame, hot: int, num: int, den: int) -> DataFrame:
-    """Without the signatures of over `hot` classes, where a class has too few of these."""
+def _drop_alone(cand: DataFrame, num: int, den: int, key: str = "set_key") -> DataFrame:
+    """Without the classes that have too few shared signatures in a group to link there."""
     bands = Bands(num, den)
     slack = F.array(*[F.lit(bands.slack(g)) for g in range(len(bands.low) - 2)])
-    heavy = cand.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("sig", F.lit(True).alias("heavy"))
-    c = cand.join(heavy, "sig", "left").withColumn("g", F.col("sig").bitwiseAND(F.lit(255)).cast("int"))
-    few = (
-        c.where("heavy").groupBy("set_key", "g").agg(F.count("*").alias("h"))
-        .where(F.col("h") >= F.get(slack, F.col("g"))).select("set_key", "g", F.lit(True).alias("many"))
-    )
-    return c.join(few, ["set_key", "g"], "left").where("heavy is null or many").select("sig", "set_key")
+    c = cand.withColumn("g", F.col("sig").bitwiseAND(F.lit(255)).cast("int"))
+    able = c.groupBy(key, "g").agg(F.count("*").alias("n")).where(F.col("n") >= F.get(slack, F.col("g"))).select(key, "g")
+    return c.join(able, [key, "g"], "left_semi").select(*cand.columns)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num: int = 75, den: int = 100, n_buckets: int | None = None, hot: int = 64) -> DataFrame:
+def _rarest(cand: DataFrame, num: int, den: int, key: str) -> DataFrame:
+    """Of a class's n signatures in a group, the n - slack + 1 that the fewest classes have.
+
+    Linking classes share `slack` of theirs, so the rarest of these is kept by both."""
+    bands = Bands(num, den)
+    slack = F.array(*[F.lit(bands.slack(g)) for g in range(len(bands.low) - 2)])
+    count = cand.groupBy("sig").agg(F.count("*").alias("in"))
+    c = cand.join(count, "sig").withColumn("g", F.col("sig").bitwiseAND(F.lit(255)).cast("int"))
+    own = Window.partitionBy(key, "g")
+    c = c.withColumn("at", F.row_number().over(own.orderBy("in", "sig"))).withColumn("n", F.count("*").over(own))
+    return c.where(F.col("at") <= F.col("n") - F.get(slack, F.col("g")) + 1).select(*cand.columns)
+
+
+def _shared_only(cand: DataFrame) -> DataFrame:
+    return cand.join(cand.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "sig", "left_semi")
+
+
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of x's set with those of the rows of y, which has as
+    many cells or more."""
+    if y.shape[1] > len(x):
+        y = y.reshape(len(y), -1, len(x)).sum(axis=1)
+    return np.minimum(y, x).sum(axis=1, dtype=np.int64)
+
+
+def _compare_tile(num: int, den: int):
+    """Pairs of a tile's outer and inner classes in different components that the cells let pass."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        node, comp, n = (tile.column(c).to_numpy() for c in ("node", "comp", "n"))
+        outer = tile.column("outer").to_numpy()
+        cells = tile.column("cells").to_pylist()
+        width = np.array([0 if c is None else len(c) for c in cells])
+        stacks = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        data = {w: np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), w) for w, at in stacks.items() if w}
+        a, b = [], []
+        for i in np.flatnonzero(outer).tolist():
+            for w, at in stacks.items():
+                ok = (comp[at] != comp[i]) & (np.minimum(n[at], n[i]) * den >= np.maximum(n[at], n[i]) * num)
+                ok &= ~outer[at] | (node[at] < node[i])
+                k = np.flatnonzero(ok)
+                if w and width[i] and len(k):
+                    x, y = np.frombuffer(cells[i], np.uint8), data[w][k]
+                    if w < len(x):
+                        x = x.reshape(-1, w).sum(axis=0)
+                    most = _bound(x, y)
+                    k = k[den * most >= num * (n[at[k]] + n[i] - most)]
+                a.append(np.full(len(k), node[i]))
+                b.append(node[at[k]])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def _open_pairs(open_: DataFrame, cells: DataFrame, num: int, den: int, tile: int = 1024) -> DataFrame:
+    """Pairs a, b of classes that share a signature, maybe by way of others, in different components.
+
+    A bloc is what the signatures of open_ connect. Tiles are of `tile` classes, those of the
+    bloc's largest component apart; these are not compared among themselves."""
+    centre = open_.groupBy("sig").agg(F.min("node").alias("c"))
+    blocs = connected_components(open_.join(centre, "sig").where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
+    nodes = cut(
+        open_.select("node", "comp").distinct().join(blocs.withColumnRenamed("component", "bloc"), "node").join(cells, "node")
+    )
+    largest = nodes.groupBy("bloc", "comp").agg(F.count("*").alias("m")).groupBy("bloc").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"))
+    n = nodes.join(largest, "bloc").select(
+        "bloc", "node", "comp", "n", "cells",
+        (F.col("comp") != F.col("main.comp")).alias("outer"),
+        F.ceil((F.col("all") - F.col("main.m")) / tile).cast("int").alias("k_out"),
+        F.ceil(F.col("main.m") / tile).cast("int").alias("k_in"),
+    )
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("k_out")).otherwise(F.col("k_in"))).cast("int")
+    n = n.withColumn("own", own)
+    rows = "bloc", "node", "comp", "n", "cells", "outer"
+    # Tile (t, u): outer tile t against inner tile u; tile (t, -1 - u), t <= u: outer against outer.
+    cross = n.select(*rows, F.explode(F.when(F.col("outer"), F.expr("transform(sequence(0, k_in - 1), u -> struct(own as t, u as u))")).otherwise(F.expr("transform(sequence(0, k_out - 1), t -> struct(t as t, own as u))"))).alias("at"))
+    among = n.where("outer").select(*rows, F.explode(F.expr("transform(sequence(0, k_out - 1), u -> struct(least(own, u) as t, -1 - greatest(own, u) as u))")).alias("at"))
+    tiles = cross.unionByName(among).select("bloc", "at.t", "at.u", *rows[1:])
+    n_tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work
+    return tiles.repartition(n_tasks, "bloc", "t", "u").groupBy("bloc", "t", "u").applyInArrow(_compare_tile(num, den), "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num: int = 75, den: int = 100, n_buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = cut_table(classes_of(docs))
@@ -334,12 +453,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         total = rows.agg(F.sum("n_shingles")).first()[0] or 0
         n_buckets = max(8, math.ceil(total / 2_000_000))
     reps = rows.where("set_key <> 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    cand = _drop_hot(cut_table(candidates(docs, n_buckets, num, den)), hot, num, den)
+    cand = cut_table(_drop_alone(candidates(docs, n_buckets, num, den), num, den))
+    cand = _drop_alone(_shared_only(cand), num, den)
     cand = cut_table(cand.join(reps, "set_key").select("sig", F.col("rep").alias("node"), "set_key"))
     # Texts of the candidates only: a representative's row is that of its id and its set.
     wanted = cand.select("node", "set_key").distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
     texts = cut_table(texts.distinct())
+    cells = cut_table(texts.mapInArrow(_sketches, "node long, n long, cells binary"))
     links = None
     nodes = cand.select("sig", "node")
     done = None
@@ -349,16 +470,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         else:
             comp = connected_components(links)
             open_ = nodes.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-            mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-            open_ = cut(open_.join(mixed, "sig", "left_semi"))
+            # Linking classes in different components share `slack` signatures that are mixed.
+            for _ in range(2):
+                mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
+                open_ = cut(_drop_alone(open_.join(mixed, "sig", "left_semi"), num, den, "node"))
         if step == "all":
-            other = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("bc"))
-            pairs = open_.join(other, "sig").where("node < b and comp <> bc").select(F.col("node").alias("a"), "b")
+            rare = cut(_rarest(open_, num, den, "node"))
+            mixed = rare.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
+            pairs = _open_pairs(cut(rare.join(mixed, "sig", "left_semi")), cells, num, den)
         else:
             order = F.col("node") if step == "least" else F.xxhash64("sig", "node")
             centre = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), order).alias("c"))
-            pairs = open_.join(centre, "sig").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-        pairs = pairs.distinct()
+            pairs = open_.join(centre, "sig").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+            x = cells.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("cells").alias("ac"))
+            y = cells.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cells").alias("bc"))
+            pairs = pairs.join(x, "a").join(y, "b").where(f"least(an, bn) * {den} >= greatest(an, bn) * {num}")
+            pairs = pairs.select("a", "b", "an", "bn", "ac", "bc").mapInArrow(_may_link(num, den), "a long, b long").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)

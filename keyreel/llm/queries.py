@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from keyreel.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.language import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyreel.llm.ngram_join import near_duplicates
 

@@ -70,7 +70,25 @@ def test_same_as_all_pairs(spark):
     want, links = brute(rows)
     assert len(links) > 100
     assert result(spark, rows, n_buckets=5) == want
-    assert result(spark, rows, n_buckets=2, hot=3) == want
+    assert result(spark, rows, n_buckets=2) == want
+
+
+def test_tiles_of_open_blocs(spark, monkeypatch):
+    from keyreel.llm import ngram_join
+
+    plain = ngram_join._open_pairs
+    monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a: plain(*a, tile=3))
+    rng = random.Random(11)
+    base = rng.choices(["w%d" % i for i in range(300)], k=120)
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            words[rng.randrange(len(words))] = "x%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(words)))
+    want, _ = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < 120
+    assert result(spark, rows) == want
 
 
 def test_repeated_rows_and_other_columns(spark):
