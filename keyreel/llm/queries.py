@@ -21,6 +21,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.pii import found
+
+    return found(table(spark, sf_dir, "documents"))
+
+
+def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyreel.llm.ngram_join import near_duplicates
 
