@@ -15,6 +15,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.quotes import linked
+
+    return linked(table(spark, sf_dir, "conversations"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyreel.llm.language import identified
 
@@ -27,6 +33,18 @@ def op4_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.audio import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyreel.llm.pii import found
 
