@@ -33,6 +33,12 @@ def op4_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyreel.llm.repeats import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyreel.llm.audio import digests
 
