@@ -292,7 +292,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"))
-    return d.select("id", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("key"), "text")
+    # Never null, so that no join infers a filter for one side only, and both share one shuffle of the texts.
+    key = F.coalesce(F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"), F.lit(0))
+    return d.select("id", key.alias("key"), "text")
 
 
 def repeated_spans(d: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
