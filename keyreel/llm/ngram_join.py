@@ -14,8 +14,7 @@ Signatures leave a task as sorted, delta-coded blobs, one for each bucket of the
 signature space: about six bytes each. A bucket's reducer returns the signatures of two
 classes or more. A class with fewer than `slack` such signatures in a group has no partner
 there and leaves it, and with it most that share just a passage. The rest are compared with
-one class of each signature, the least and then a hashed one, which joins large groups in
-linear time. Signatures whose classes are then in different components are linked to blocs;
+the least class of each signature, which joins large groups in linear time. Signatures whose classes are then in different components are linked to blocs;
 in a bloc, classes outside its largest component are compared, tile by tile, with the classes
 of other components. Before two texts meet, counts of their shingles by hash cell bound the
 intersection from above; only pairs that this bound lets pass are read and compared exactly.
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from keyreel.llm.common import connected_components, cut, cut_table
 from keyreel.llm.textbytes import BYTE_VALUES, buffers, distinct_shingles, mix, pieces
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 SIG_HASH_BITS = 48
 _RANK = mix(BYTE_VALUES.copy())
 
@@ -190,7 +189,7 @@ def _bucket_of(sig: np.ndarray, n: int) -> np.ndarray:
 
 
 def _emit(n_buckets: int, num: int, den: int):
-    flush = 1_500_000
+    flush = 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -464,23 +463,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = None
     nodes = cand.select("sig", "node")
     done = None
-    for step in ("least", "hashed", "all"):
+    for step in ("least", "all"):
         if links is None:
             open_ = nodes.withColumn("comp", F.col("node"))
         else:
             comp = connected_components(links)
             open_ = nodes.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
             # Linking classes in different components share `slack` signatures that are mixed.
-            for _ in range(2):
-                mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-                open_ = cut(_drop_alone(open_.join(mixed, "sig", "left_semi"), num, den, "node"))
+            mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
+            open_ = cut(_drop_alone(open_.join(mixed, "sig", "left_semi"), num, den, "node"))
         if step == "all":
             rare = cut(_rarest(open_, num, den, "node"))
             mixed = rare.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
             pairs = _open_pairs(cut(rare.join(mixed, "sig", "left_semi")), cells, num, den)
         else:
-            order = F.col("node") if step == "least" else F.xxhash64("sig", "node")
-            centre = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), order).alias("c"))
+            centre = open_.groupBy("sig").agg(F.min(F.struct("node", "comp")).alias("c"))
             pairs = open_.join(centre, "sig").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
             x = cells.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("cells").alias("ac"))
             y = cells.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cells").alias("bc"))
