@@ -170,10 +170,14 @@ class LanguageModel:
 def fit(docs: DataFrame, order: int = 3, sample: int = 300, contexts: int = 20_000, languages: int = 32) -> LanguageModel:
     """A model from at most `sample` rows of each of at most `languages` languages."""
     known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    h = F.xxhash64("doc_id")
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    # Of each language, rows of small enough hashes for about twice the sample: the window gets no more.
+    bound = F.lit(0)
+    for r in top:
+        bound = F.when(F.col("lang") == r.lang, min(1 << 20, ((2 * sample + 50) << 20) // r.n + 1)).otherwise(bound)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    names = [r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    ids = known.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    ids = known.select("doc_id", "lang").where(h < bound).withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
     rows = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample * languages rows
     grams = rows.select("lang", "text").mapInArrow(_count(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     counts: dict[tuple[str, int], dict[int, int]] = {}
