@@ -93,12 +93,12 @@ class LanguageModel:
                     all_, kinds = n.sum(), len(s)
                     p = below.copy()
                     p[s] = 0
-                    left = p.sum() + (256 - size if k == 0 else 0) / 256
+                    left = p.sum() + below[0] * (256 - size)  # symbol 0 stands for each byte without one
                     p *= kinds / (all_ + kinds) / left if left > 0 else 0
                     p[s] = n / (all_ + (kinds if left > 0 else 0))
                 prob[self.node[k, ctx]] = p
                 bits[self.node[k, ctx], :, li] = -np.log2(np.maximum(p, 1e-12))
-        self.bits = bits.reshape(-1, n_langs)
+        self.bits = bits.reshape(len(kept) * size, n_langs)
         # Context numbers by suffix growth: grown[k][number of the last k bytes (0: unknown), symbol]
         # is the number of the last k + 1 bytes.
         number = [{c: i + 1 for i, (kk, c) in enumerate([x for x in kept if x[0] == k])} for k in range(order + 1)]
