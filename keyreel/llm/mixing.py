@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRATA = 1024
+#: Hex digits of the hash that name a stratum: strata in order are the hash in order.
+STRATUM_DIGITS = 3
 #: start and end of the draw densities of the sources of weight 1, 2 and 3
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
@@ -62,8 +63,8 @@ def position(share: Column, start: Column, end: Column) -> Column:
 
 def planned(docs: DataFrame, repeats: float = 3.0) -> DataFrame:
     """docs with struct columns __size, __plan(source_size, target, taken, full, offset, part, start, end)."""
-    d = docs.withColumn("__size", words(F.col("text"))).withColumn("__h", F.xxhash64("doc_id", "__size"))
-    d = d.withColumn("__s", F.pmod("__h", F.lit(STRATA)).cast("int")).withColumn("__src", F.col("source").cast("string"))
+    d = docs.withColumn("__size", words(F.col("text"))).withColumn("__h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    d = d.withColumn("__s", F.substring("__h", 1, STRATUM_DIGITS)).withColumn("__src", F.col("source").cast("string"))
     strata = d.groupBy("__src", "__s").agg(F.sum("__size").alias("sum"))
     sources = strata.groupBy(F.col("__src").alias("source")).agg(F.sum("sum").alias("source_size"))
     plan = targets(sources, repeats)
@@ -93,10 +94,10 @@ def planned(docs: DataFrame, repeats: float = 3.0) -> DataFrame:
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the position of the first copy, sorted by it."""
+    """doc_id, size, source_size, target, taken and the position of the first copy (to 9 places), sorted by it."""
     p = planned(docs.select("doc_id", "source", "text"))
     at = F.when(F.col("__plan.taken") > 0, position(F.col("__plan.share"), F.col("__plan.start"), F.col("__plan.end")))
-    out = p.select("doc_id", F.col("__size").alias("size"), "__plan.source_size", "__plan.target", "__plan.taken", at.alias("position"))
+    out = p.select("doc_id", F.col("__size").alias("size"), "__plan.source_size", "__plan.target", "__plan.taken", F.abs(F.round(at, 9)).alias("position"))
     return out.orderBy("position", "doc_id")
 
 
