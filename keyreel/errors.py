@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Error codes and the exit code of each; codes not listed here exit with 1.
 EXIT_CODES = {
     "USAGE": 2,
@@ -18,7 +20,7 @@ CODES = (*EXIT_CODES, "PROBE_FAILED", "EXTRACT_FAILED", "ANALYZE_FAILED", "DETEC
 
 class FrameError(Exception):
     def __init__(self, code: str, message: str, hint: str | None = None, details: dict | None = None):
-        super().__init__(message)
+        super().__init__(f"{code}: {message}")
         if code not in CODES:
             raise ValueError(f"unknown error code {code}")
         self.code, self.message, self.hint, self.details = code, message, hint, details
@@ -36,4 +38,6 @@ def as_frame_error(error: BaseException) -> FrameError:
         return error
     if isinstance(error, KeyboardInterrupt):
         return FrameError("CANCELLED", "cancelled")
-    return FrameError("INTERNAL", str(error))
+    # What fails on an executor, or in raise_error(), arrives as text that begins with its code.
+    told = re.search(rf"\b({'|'.join(CODES)}): ([^\n]*)", str(error))
+    return FrameError(told[1], told[2]) if told else FrameError("INTERNAL", str(error))

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXTENSIONS = {"image/jpeg": "jpg", "image/png": "png", "image/webp": "webp"}
+LEAST_INTERVAL = 0.05
+
+
+def _number(x: float) -> str:
+    """Without an exponent at usual sizes; six digits would be too few for times of long videos."""
+    return format(x, ".15g")
 
 
 def parse_fps(rate: Column) -> Column:
@@ -79,15 +85,15 @@ def _scale(width: int | None) -> str | None:
 
 def interval_command(path: str, pattern: str, interval: float, fmt: str = "image/jpeg", quality: float = 0.85, max_width: int | None = None, start: float = 0.0, end: float | None = None) -> list[str]:
     """One pass that writes a frame each `interval` seconds, 0.05 at least."""
-    out = ["-hide_banner", "-y", *(["-ss", format(start, "g")] if start > 0 else []), "-i", path]
+    out = ["-hide_banner", "-y", *(["-ss", _number(start)] if start > 0 else []), "-i", path]
     if end is not None and end > start:
         out += ["-t", format(end - start, "g")]
-    filters = [f"fps=1/{max(0.05, interval):g}", *filter(None, [_scale(max_width)])]
+    filters = [f"fps=1/{_number(max(LEAST_INTERVAL, interval))}", *filter(None, [_scale(max_width)])]
     return [*out, "-vf", ",".join(filters), *_quality(fmt, quality), pattern]
 
 
 def all_frames_command(path: str, pattern: str, fmt: str = "image/jpeg", quality: float = 0.85, max_width: int | None = None, start: float = 0.0, end: float | None = None, most: int | None = None) -> list[str]:
-    out = ["-hide_banner", "-y", *(["-ss", format(start, "g")] if start > 0 else []), "-i", path]
+    out = ["-hide_banner", "-y", *(["-ss", _number(start)] if start > 0 else []), "-i", path]
     if end is not None:
         out += ["-t", format(end - start, "g")]
     out += ["-vf", _scale(max_width)] if max_width else []
@@ -96,7 +102,7 @@ def all_frames_command(path: str, pattern: str, fmt: str = "image/jpeg", quality
 
 
 def single_frame_command(path: str, out_path: str, at: float, fmt: str = "image/jpeg", quality: float = 0.92, max_width: int | None = None) -> list[str]:
-    out = ["-hide_banner", "-y", "-ss", format(max(0.0, at), "g"), "-i", path, "-frames:v", "1"]
+    out = ["-hide_banner", "-y", "-ss", _number(max(0.0, at)), "-i", path, "-frames:v", "1"]
     return [*out, *(["-vf", _scale(max_width)] if max_width else []), *_quality(fmt, quality), out_path]
 
 

@@ -137,6 +137,9 @@ def test_probe_facts(spark):
     times = '{"frames":[{"best_effort_timestamp_time":"1"},{"best_effort_timestamp_time":"1.125"},{"best_effort_timestamp_time":"-1"},{"best_effort_timestamp_time":"N/A"},{}]}'
     assert spark.range(1).select(media.parse_timestamps(F.lit(times)).alias("t")).first().t == [1.0, 1.125]
     assert media.interval_command("i", "o", 0.01, quality=0.9)[-4:] == ["fps=1/0.05", "-q:v", "3", "o"]
+    assert media.interval_command("i", "o", 0.5, start=10, end=25)[2:8] == ["-ss", "10", "-i", "i", "-t", "15"]
+    assert media.all_frames_command("i", "o", start=1.5, end=4)[2:8] == ["-ss", "1.5", "-i", "i", "-t", "2.5"]
+    assert media.single_frame_command("i", "o", 36000.125)[3] == "36000.125"
     assert "-read_intervals" in media.timestamp_command("i", 1, 2) and M.pts_buffer(1) == 1 << 20
 
 
