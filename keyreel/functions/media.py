@@ -87,7 +87,7 @@ def interval_command(path: str, pattern: str, interval: float, fmt: str = "image
     """One pass that writes a frame each `interval` seconds, 0.05 at least."""
     out = ["-hide_banner", "-y", *(["-ss", _number(start)] if start > 0 else []), "-i", path]
     if end is not None and end > start:
-        out += ["-t", format(end - start, "g")]
+        out += ["-t", _number(end - start)]
     filters = [f"fps=1/{_number(max(LEAST_INTERVAL, interval))}", *filter(None, [_scale(max_width)])]
     return [*out, "-vf", ",".join(filters), *_quality(fmt, quality), pattern]
 
@@ -95,7 +95,7 @@ def interval_command(path: str, pattern: str, interval: float, fmt: str = "image
 def all_frames_command(path: str, pattern: str, fmt: str = "image/jpeg", quality: float = 0.85, max_width: int | None = None, start: float = 0.0, end: float | None = None, most: int | None = None) -> list[str]:
     out = ["-hide_banner", "-y", *(["-ss", _number(start)] if start > 0 else []), "-i", path]
     if end is not None:
-        out += ["-t", format(end - start, "g")]
+        out += ["-t", _number(end - start)]
     out += ["-vf", _scale(max_width)] if max_width else []
     out += ["-fps_mode", "passthrough", *(["-frames:v", str(most)] if most is not None else [])]
     return [*out, *_quality(fmt, quality), pattern]

@@ -27,13 +27,13 @@ def find_tool(name: str, explicit: str | None = None) -> str:
     return found
 
 
-def run_tool(argv: list[str], most: int = 16 << 20) -> bytes:
+def run_tool(argv: list[str], most: int = 16 << 20, code: str = "EXTRACT_FAILED") -> bytes:
     """Standard output of a command without a shell, `most` bytes at most."""
     done = subprocess.run(argv, capture_output=True, check=False)
     if done.returncode:
-        raise FrameError("EXTRACT_FAILED", f"{argv[0]} failed: {done.stderr[-500:].decode(errors='replace')}")
+        raise FrameError(code, f"{argv[0]} failed: {done.stderr[-500:].decode(errors='replace')}")
     if len(done.stdout) > most:
-        raise FrameError("EXTRACT_FAILED", f"{argv[0]} wrote more than {most} bytes")
+        raise FrameError(code, f"{argv[0]} wrote more than {most} bytes")
     return done.stdout
 
 
@@ -47,7 +47,7 @@ def probe_documents(paths: DataFrame, tool: str | None = None) -> DataFrame:
     def run(batches):
         exe = find_tool("ffprobe", tool)
         for b in batches:
-            docs = [run_tool([exe, *media.probe_command(p)]).decode() for p in b.column("path").to_pylist()]
+            docs = [run_tool([exe, *media.probe_command(p)], code="PROBE_FAILED").decode() for p in b.column("path").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("source_id"), b.column("path"), pa.array(docs)], ["source_id", "path", "json"])
 
     return paths.select("source_id", "path").mapInArrow(run, "source_id string, path string, json string")
