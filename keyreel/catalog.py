@@ -432,14 +432,15 @@ def nms_keep(spark, sf):
     return b.select("id", F.explode(vision.suppressed(F.col("boxes"))).alias("k")).select("id", F.col("k.r").cast("long").alias("r"))
 
 
-@query("yolox_decode")
+@query("yolox_decode", f"SELECT vec_id, CAST(vec_id % 80 AS INTEGER) AS class_id, {list(T.CLASS_NAMES)}[vec_id % 80 + 1] AS class_name, 0.72::DOUBLE AS confidence FROM embeddings")
 def yolox_decode(spark, sf):
     v = A.table(spark, sf, "embeddings")
     cells = vision.cell_count()
     # One cell with an object for each vector, at a place and of a class that follow from its id.
-    place = F.col("vec_id") % cells
+    place = (F.col("vec_id") % cells).cast("int")
     values = F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.when(i < 4, F.lit(0.5)).when(i == 4, 0.9).when(i - 5 == F.col("vec_id") % 80, 0.8).otherwise(0.1).cast("float"))
-    raw = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.when(c == place, values).otherwise(F.array_repeat(F.lit(0.0).cast("float"), 85))))
+    none = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n * 85)
+    raw = F.concat(none(place), values, none(cells - 1 - place))
     d = v.select("vec_id", vision.detections_of(raw, F.lit(640), F.lit(360)).alias("d"))
     return d.select("vec_id", F.explode("d").alias("d")).select("vec_id", "d.class_id", "d.class_name", r6(F.col("d.confidence"), "confidence"))
 

@@ -141,7 +141,7 @@ def detections_of(raw: Column, width: Column, height: Column, confidence: float
 
     @F.arrow_udf(DETECTIONS)
     def run(raw: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
-        return pa.array([decode(np.array(r.as_py(), np.float32), w.as_py(), h.as_py(), confidence) if r.is_valid else None for r, w, h in zip(raw, width, height)], _DETECTIONS)
+        return pa.array([decode(r.values.to_numpy(), w.as_py(), h.as_py(), confidence) if r.is_valid else None for r, w, h in zip(raw, width, height)], _DETECTIONS)
 
     return run(raw, width, height)
 
@@ -152,7 +152,7 @@ def text_of(levels: Column, width: Column, height: Column, least: int = MIN_REGI
 
     @F.arrow_udf(TEXT)
     def run(levels: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
-        return pa.array([text_regions(np.array(v.as_py(), np.float32).reshape(h.as_py(), w.as_py()), least, level) if v.is_valid else None for v, w, h in zip(levels, width, height)], _TEXT)
+        return pa.array([text_regions(v.values.to_numpy().reshape(h.as_py(), w.as_py()), least, level) if v.is_valid else None for v, w, h in zip(levels, width, height)], _TEXT)
 
     return run(levels, width, height)
 
