@@ -76,11 +76,11 @@ def _token_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(off, start, "right") - 1
     end = np.minimum(np.append(start[1:], len(m)), off[row + 1] - LENGTH + 1)
     # A window that recurs within its own run has its token at its very beginning somewhere in
-    # the run, and again within SPAN of that.
+    # the run, and again at most SPAN after that: the next window covers the SPAN grams there.
     at = np.flatnonzero((g[: len(m)] == m) & valid)
     again = np.zeros(len(at), bool)
     h = g[at]
-    for d in range(1, SPAN):
+    for d in range(1, SPAN + 1):
         again |= g[np.minimum(at + d, n - 1)] == h
     again &= at < n - 1
     twice = np.zeros(len(start), bool)

@@ -68,6 +68,14 @@ def test_periods_and_long_texts(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_period_of_a_span_in_one_text_only(spark):
+    rng = random.Random(17)
+    line = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k - 1)) + "\n"
+    rows = [(k, line(k) * 5) for k in range(R.SPAN - 3, R.SPAN + 4)] + [(1000, line(R.SPAN) * 3), (1001, line(R.SPAN) + line(300))]
+    got = {r[0]: r[2] for r in check(spark, rows)}
+    assert got[R.SPAN] == 5 * R.SPAN and got[1000] == 3 * R.SPAN and got[1001] == 0
+
+
 def test_parts_of_long_rows():
     import numpy as np
 
