@@ -1,9 +1,8 @@
 """Packing: optimal length buckets and token-budget batches.
 
 A text's length is its words plus one end mark. One global histogram of lengths, counted
-before the shuffle, goes to the driver: a row for each distinct length, and above
-`exact` distinct lengths a row for each of `exact` steps, rounded up, so its size is bounded.
-A dynamic program chooses at most `buckets` boundaries with the least padding in total
+before the shuffle, goes to the driver: a row for each distinct length, of which there are
+at most about the square root of twice all tokens. A dynamic program chooses at most `buckets` boundaries with the least padding in total
 (lower hull of lines, in O(lengths * buckets)). Every text is padded to its bucket's
 boundary, and a bucket's texts, in hashed order, form batches of as many as fit `budget`
 padded tokens, but one at least. Ranks come from counts of strata and a window in each
@@ -15,6 +14,8 @@ An empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     # Padded tokens of the first j lengths in k buckets: best[j] = min over i < j of best'[i] +
     # l[j - 1] * (total[j] - total[i]); lines in l[j - 1] of falling slope -total[i].
     best = [l[j - 1] * total[j] if j else 0 for j in range(n + 1)]
-    choice: list[list[int]] = [[0] * (n + 1)]
+    choice = [array("q", bytes(8 * (n + 1)))]
     for k in range(1, min(buckets, n)):
-        now, pick = [None] * (n + 1), [0] * (n + 1)
+        now, pick = [None] * (n + 1), array("q", bytes(8 * (n + 1)))
         hull: list[int] = []
         head = 0
 
@@ -76,13 +77,10 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return sorted(out)
 
 
-def histogram(lengths: DataFrame, exact: int = 20_000) -> tuple[list[int], list[int]]:
-    """Distinct values of the column n and their counts; in steps where there are more than `exact`."""
-    by = lengths.groupBy("n").agg(F.count("*").alias("c"))
-    most = by.agg(F.count("*"), F.max("n")).first()
-    step = 1 if most[0] <= exact else -(-most[1] // exact)
-    rows = by.groupBy((F.ceil(F.col("n") / step) * step).cast("long").alias("n")).agg(F.sum("c").alias("c")).orderBy("n").limit(exact + 1).toArrow().to_pylist()
-    return [r["n"] for r in rows], [r["c"] for r in rows]
+def histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct values of the column n and their counts."""
+    rows = lengths.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").toArrow()
+    return rows.column("n").to_pylist(), rows.column("c").to_pylist()
 
 
 def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from keyreel.llm.mixing import mix_report, mixed
-from keyreel.llm.packing import boundaries, packed
+from keyreel.llm.packing import boundaries, histogram, packed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,3 +104,13 @@ def test_packed(spark):
         most = max(1, 100 // size)
         assert len(slots) == most or k == last[size] and len(slots) <= most
     assert packed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_distinct_length_counts(spark):
+    lengths = spark.range(1, 21_001).selectExpr("id as n").unionByName(spark.createDataFrame([(20_000_000,), (3,)], "n long"))
+    got, counts = histogram(lengths)
+    assert got == [*range(1, 21_001), 20_000_000] and counts[2] == 2 and sum(counts) == 21_002
+    # Two groups of equal lengths, one of them short, need no padding beside 20,000 others.
+    counts = [10**9 if n in (7, 9) else 1 for n in got]
+    ends = boundaries(got, counts, 16)
+    assert {7, 9, 20_000_000} <= set(ends) and len(ends) == 16
