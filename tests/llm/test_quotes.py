@@ -45,5 +45,28 @@ def test_long_chain_against_brute_force(spark):
         assert got[8, t][5] == (t - 1 if t else None) and got[8, t][2] == "same"
 
 
+def test_trimmed_and_rewrapped_quotes(spark):
+    m = [
+        (1, 0, "u", "The first line of three\nthen the second line\nand the third one.\n\nOther words"),
+        (1, 1, "a", "> the first LINE of three\n> then the second line\nTwo lines."),
+        (1, 2, "u", "> The first line of three\n> and the third one.\nThe middle is cut."),
+        (1, 3, "a", "> first line of three then\n> the second\n> line and\nRewrapped."),
+        (1, 4, "u", "> > Two\n> nothing like this\n> and the third one.\nPart of a line, and a line unknown."),
+        (1, 5, "a", "> the first line\n> of four\nNot held."),
+        (1, 6, "u", "No other words here"),
+        (1, 7, "a", "> Other words\nA whole line goes before a part of a later one."),
+        (1, 8, "u", "> middle is cut.\n> then the second line\nIn two messages."),
+        (2, 1, "u", "> then the second line\n> and the third one.\nother conversation"),
+    ]
+    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    got = {r[:2]: r[3:] for r in rows(df)}
+    for t in (1, 2, 3):
+        assert got[1, t] == (1, 1, 0, [0, t])
+    assert got[1, 4] == (2, 1, 1, [0, 1, 4])
+    assert got[1, 7] == (1, 1, 0, [0, 7])
+    for k in ((1, 5), (1, 8), (2, 1)):
+        assert got[k] == (1, 0, None, [k[1]])
+
+
 def test_empty(spark):
     assert linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
