@@ -163,21 +163,22 @@ def run(argv: list[str], progress: Callable[[dict], None] = report) -> dict:
     if hasattr(args, "format"):
         width = P.CANDIDATE_WIDTH if args.command == "extract" and not args.output and args.max_width is None else args.max_width
         images = P.Images(FORMATS[args.format], args.quality, width, args.filename_template, tools)
-    rows = lambda df, *by: [r.asDict(recursive=True) for r in df.orderBy(*by).limit(20).collect()]
+    every = lambda df, *by: [r.asDict(recursive=True) for r in df.orderBy(*by).collect()]
+    rows = lambda df, *by: every(df.orderBy(*by).limit(20), *by)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "probe":
-        return {"probes": rows(P.probe(P.sources_of(spark, args.inputs), tools), "source_id")}
+        return {"probes": every(P.probe(P.sources_of(spark, args.inputs), tools), "source_id")}
     if args.command == "extract":
         frames = P.extract(spark, args.inputs, args.workspace, how, images, args.output, args.overwrite, args.force, args.max_output_frames, progress)
         return {"workspace": args.workspace, **workspace.bounded(frames)}
     if args.command == "analyze":
         scan = P.analyze(spark, args.workspace, tools, progress)
-        return {"workspace": args.workspace, "recommended": scan.where("recommended").count(), "sources": rows(scan.groupBy("source_id").agg(F.count("*").alias("frames"), (F.max("metrics.scene_index") + 1).alias("scenes")), "source_id")}
+        return {"workspace": args.workspace, "recommended": scan.where("recommended").count(), "sources": every(scan.groupBy("source_id").agg(F.count("*").alias("frames"), (F.max("metrics.scene_index") + 1).alias("scenes")), "source_id")}
     if args.command == "detect":
         if args.text:
             detect_text()
         frames = P.detect(spark, args.workspace, provider_of(args), args.min_confidence, tools, progress)
-        return {"workspace": args.workspace, "sources": rows(detect_summary(frames, [*args.object, *args.group]), "source_id")}
+        return {"workspace": args.workspace, "sources": every(detect_summary(frames, [*args.object, *args.group]), "source_id")}
     if args.command == "export":
         done = P.export(spark, args.workspace, args.output, images, args.overwrite, not args.no_manifest, progress)
         return {"output": args.output, "count": done.count(), "sample": rows(done, "source_id", "pos")}

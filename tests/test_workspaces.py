@@ -168,6 +168,12 @@ def test_named_output(spark, tools, videos, tmp_path):
     assert e.value.code == "USAGE"
 
 
+def test_all_probes(spark, tools, videos, tmp_path, capsys):
+    where = ["--ffmpeg-path", tools.ffmpeg, "--ffprobe-path", tools.ffprobe]
+    assert cli.main(["probe", *videos * 12, *where]) == 0
+    assert len(json.loads(capsys.readouterr().out)["probes"]) == 24
+
+
 def test_command_line(spark, tools, videos, tmp_path, capsys):
     where = ["--ffmpeg-path", tools.ffmpeg, "--ffprobe-path", tools.ffprobe]
 
