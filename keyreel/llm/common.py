@@ -1,23 +1,33 @@
-"""Helpers shared by the operators: lineage cuts, links to components, row ids."""
+"""Helpers shared by the operators: tables in the shared folder, links to components, row ids."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with more than one in HEAVY of all rows are joined by broadcast; there are fewer than HEAVY of them.
+HEAVY = 1000
+CHUNK = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a fresh local one only where none is set."""
+    """The shared folder of spark.checkpoint.dir; where none is set, a temporary one, but only if all runs in one JVM."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="keyreel-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -30,12 +40,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """Like cut(), as a Parquet table: smaller for wide rows, and columns can be read alone."""
+def cut_table(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Like cut(), as a Parquet table (of `parts` files at most): smaller for wide rows, columns can be
+    read alone, and drop() deletes it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/keyreel-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyreel_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut_table() that nothing reads any more, and let go of finished shuffles.
+
+    Spark removes a shuffle's files once the driver's JVM has collected the plan that made it; by
+    itself that may be long after a loop of many small jobs is over."""
+    for t in tables:
+        path = getattr(t, "_keyreel_path", None)
+        if path:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            t._keyreel_path = None
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def parts_for(df: DataFrame, rows: int) -> int:
+    """Partitions for so many small rows: a chunk each, but some for every core of a small cluster."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(min(8, spark.sparkContext.defaultParallelism), -(-rows // CHUNK))))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -43,49 +80,89 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str | list[str], total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows join per_key on key; per_key has a row for each key, with the number n of its rows.
+
+    The keys with more than total / HEAVY rows, fewer than HEAVY in number whatever the input, are
+    broadcast, so their rows stay where they are; only the others are shuffled, and for a left
+    join those without an entry."""
+    key = [key] if isinstance(key, str) else key
+    heavy = F.broadcast(per_key.where(F.col(n) * HEAVY > total))
+    light = per_key.where(F.col(n) * HEAVY <= total)
+    rest = rows.join(heavy.select(*key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key, how))
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index in the component of each of n nodes."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of each chunk as (node, least node of its component in the chunk)."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u = np.concatenate([b.column(0).to_numpy() for b in held])
+        v = np.concatenate([b.column(1).to_numpy() for b in held])
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), at[: len(u)], at[len(u) :])
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf], pa.int64()), pa.array(ids[root[leaf]], pa.int64())], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= CHUNK:
+            yield star(held)
+            held, n = [], 0
+    if n:
+        yield star(held)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected edges (a long, b long) as rows (node, component),
     component being the smallest node that is reachable; nodes without an edge don't appear.
 
-    Alternates large-star and small-star steps until the edges stay the same. Each step
-    takes a minimum per node, which is combined before the shuffle, and one join; a node
-    with many edges is only a skewed join key, which adaptive execution splits. Every
-    round's edges are checkpointed, so a lost executor costs no earlier round. Empty
-    edges give an empty result; self loops and repeated edges change nothing.
+    Edges (u, v), v < u, become stars of the chunks they come in. Each round deals them out by u, makes
+    stars again, and lets every edge jump from v to the least node that v itself points to, until
+    no edge moves. A node is the u of one edge a chunk at most, so none is a hot key there; a v
+    with many leaves is one, and its jump is broadcast (join_counted). No step makes more edges than it
+    got. Rounds are tables in the shared folder, deleted once the next is written, so a lost
+    executor costs no earlier round. Empty edges give an empty result; self loops and repeated
+    edges change nothing.
     """
-    e = cut(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-
-    def told(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    state = told(e)
+    pair = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    e = cut_table(pair.mapInArrow(_stars, "u long, v long"))
     for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = cut(
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        now = told(e)
-        if now == state:
+        n = e.count()
+        k = parts_for(e, n)
+        told = cut_table(e.coalesce(k).repartition("u").mapInArrow(_stars, "u long, v long"), k)
+        low = told.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        many = told.groupBy("v").agg(F.count("*").alias("n"))
+        jumps = many.join(low, "v", "left").select("v", "n", "m")
+        moved = join_counted(told, jumps, "v", n, how="left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        new = cut_table(moved, k)
+        still = new.where("moved").isEmpty() and low.where("m <> x").isEmpty()
+        drop(e, told)
+        e = new.select("u", "v")
+        e._keyreel_path = new._keyreel_path
+        if still:
             break
-        state = now
     else:
         raise RuntimeError("connected components did not settle")
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return (
-        e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        .unionByName(roots.select("node", F.col("node").alias("component")))
-    )
+    top = e.select(F.col("v").alias("node")).distinct()
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top.select("node", F.col("node").alias("component")))
+    out._keyreel_path = e._keyreel_path
+    return out

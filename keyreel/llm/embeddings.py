@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyreel.llm.common import connected_components, cut, cut_table
+from keyreel.llm.common import connected_components, cut, cut_table, roots
 
 BLOCKS = (8, 16, 32)
 
@@ -111,22 +111,6 @@ def linked(x: np.ndarray, y: np.ndarray, axes: np.ndarray | None, least: float)
     return i[ok], j[ok]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index in the component of each of n nodes."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(axes: dict[int, np.ndarray], least: float):
     def run(pair: pa.Table) -> pa.Table:
         side = pair.column("side").to_numpy()
@@ -148,7 +132,7 @@ def _compare(axes: dict[int, np.ndarray], least: float):
                 np.add.at(links, a, weight[b])
                 np.add.at(links, b, weight[a])
                 if len(a):
-                    root = _roots(len(cls), a, b)
+                    root = roots(len(cls), a, b)
                     edges.append(np.unique(np.stack([a, root[a]], 1), axis=0))
                     edges.append(np.unique(np.stack([b, root[b]], 1), axis=0))
         e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)

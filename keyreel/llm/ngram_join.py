@@ -12,15 +12,21 @@ signatures for them too, so no pair is missed (arguments beside the code).
 
 Signatures leave a task as sorted, delta-coded blobs, one for each bucket of the
 signature space: about six bytes each. A bucket's reducer returns the signatures of two
-classes or more. A class with fewer than `slack` such signatures in a group has no partner
+classes or more; it goes through the blobs in chunks and keeps one class of each signature, so
+a signature that a large group shares needs no more memory than others. A class with fewer than `slack` such signatures in a group has no partner
 there and leaves it, and with it most that share just a passage. The rest are compared with
 the least class of each signature, which joins large groups in linear time. Signatures whose classes are then in different components are linked to blocs;
 in a bloc, classes outside its largest component are compared, tile by tile, with the classes
 of other components. Before two texts meet, counts of their shingles by hash cell bound the
 intersection from above; only pairs that this bound lets pass are read and compared exactly.
+Pairs are compared by their lesser class: it comes once for each MEMBERS of its partners. Joins by
+signature broadcast what belongs to the few that very many classes have.
+
+Classes are told by 128 bits of their sets' hashes. Tables of the steps are deleted when the next
+ones are written; the one that the result reads stays.
 
 Rows: null text, or without a word: empty set, never linked. Null doc_id: never linked,
-component null. Rows with the same doc_id count as one node. Other columns are ignored.
+component null. The classes of rows with one doc_id are linked to each other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyreel.llm.common import connected_components, cut, cut_table
+from keyreel.llm.common import connected_components, cut_table, drop, join_counted
 from keyreel.llm.textbytes import BYTE_VALUES, buffers, distinct_shingles, mix, pieces
 
 PIECE = 1 << 18
 SIG_HASH_BITS = 48
+CHUNK = 4_000_000  # signatures in a reducer's memory, besides one for each distinct signature of its bucket
+PARTS = 20_000  # reducers at most; they take several buckets then, one after another
+MEMBERS = 256  # partners for which a class is sent once
 _RANK = mix(BYTE_VALUES.copy())
 
 
@@ -149,11 +158,12 @@ def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndar
 
 
 def set_keys(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """One 64-bit key for each set, the same for equal sets; 0 for empty ones."""
-    key = np.zeros(n, np.uint64)
+    """A key of 2 x 64 bits for each set, the same for equal sets; the first half is 0 for empty ones only."""
+    key = np.zeros((n, 2), np.uint64)
     if len(h):
         start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        key[rows[start]] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5E7)), start)) | np.uint64(1)
+        key[rows[start], 0] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5E7)), start)) | np.uint64(1)
+        key[rows[start], 1] = mix(np.add.reduceat(mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x27D4)), start))
     return key.view(np.int64)
 
 
@@ -166,7 +176,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_all.append(n)
             k_all.append(set_keys(h, r, j - i))
         if n_all:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_all), pa.int64()), pa.array(np.concatenate(k_all), pa.int64())], ["doc_id", "n_shingles", "set_key"])
+            k = np.concatenate(k_all)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_all), pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], ["doc_id", "n_shingles", "k1", "k2"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -194,7 +205,7 @@ def _emit(n_buckets: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         sigs, owners, keys, held = [], [], [], 0
-        known: set[int] = set()
+        known: set[tuple[int, int]] = set()
 
         def blobs() -> pa.RecordBatch:
             sig, own, key = np.concatenate(sigs), np.concatenate(owners), np.concatenate(keys)
@@ -218,8 +229,8 @@ def _emit(n_buckets: int, num: int, den: int):
                 h, r, n = distinct_shingles(buf, off[i : j + 1])
                 key = set_keys(h, r, j - i)
                 fresh = np.zeros(j - i, bool)
-                for k, x in enumerate(key.tolist()):
-                    if x and x not in known:
+                for k, x in enumerate(map(tuple, key.tolist())):
+                    if x[0] and x not in known:
                         known.add(x)
                         fresh[k] = True
                 if not fresh.any():
@@ -241,55 +252,70 @@ def _emit(n_buckets: int, num: int, den: int):
     return run
 
 
+def _meet(s: np.ndarray, c: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of signatures s of classes c (n, 2): which to put out, and one class of each signature with
+    whether it has been put out. A signature's classes are put out when there are two of them."""
+    order = np.lexsort((~told, c[:, 1], c[:, 0], s))
+    s, c, told = s[order], c[order], told[order]
+    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]).any(axis=1)])
+    s, c, told = s[fresh], c[fresh], told[fresh]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    alone = first & np.concatenate([first[1:], [True]])
+    out = ~alone & ~told
+    told = told | ~alone
+    return np.flatnonzero(out), s, c, np.stack([first, told])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, which come one after another: the signatures with two classes or more."""
-
-    def shared(blobs: list[bytes]) -> pa.RecordBatch:
-        sig, cls = [], []
-        for blob in blobs:
-            view = memoryview(blob)
-            n, names = np.frombuffer(view[:16], "<i8").tolist()
-            at = 16 + 8 * names
-            key = np.frombuffer(view[16:at], np.int64)
-            width = 2 if names <= 65535 else 4
-            own = np.frombuffer(view[at : at + width * n], f"<u{width}")
-            sig.append(_unplane(view[at + width * n :], n)[0])
-            cls.append(key[own])
-        s, c = np.concatenate(sig), np.concatenate(cls)
-        order = np.argsort(s, kind="stable")
-        s, c = s[order], c[order]
-        same = s[1:] == s[:-1]
-        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        s, c = s[some], c[some]
-        order = np.lexsort((c, s))
-        s, c = s[order], c[order]
-        if len(s):
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
-            s, c = s[fresh], c[fresh]
-            same = s[1:] == s[:-1]
-            some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            s, c = s[some], c[some]
-        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(c, pa.int64())], ["sig", "set_key"])
-
-    bucket, blobs = None, []
+    """Of each bucket, which come one after another: the signatures with two classes or more.
+
+    In buckets of more than one chunk, a row may come twice."""
+    sig: list[np.ndarray] = []
+    cls: list[np.ndarray] = []
+    flags: list[np.ndarray] = []
+    bucket, held = None, 0
+
+    def read(blob: bytes) -> None:
+        view = memoryview(blob)
+        n, names = np.frombuffer(view[:16], "<i8").tolist()
+        at = 16 + 16 * names
+        key = np.frombuffer(view[16:at], np.int64).reshape(names, 2)
+        width = 2 if names <= 65535 else 4
+        own = np.frombuffer(view[at : at + width * n], f"<u{width}")
+        sig.append(_unplane(view[at + width * n :], n)[0])
+        cls.append(key[own])
+        flags.append(np.zeros(n, bool))
+
+    def reduced(more: bool) -> pa.RecordBatch:
+        out, s, c, (first, told) = _meet(np.concatenate(sig), np.concatenate(cls), np.concatenate(flags))
+        sig[:], cls[:], flags[:] = ([s[first]], [c[first]], [told[first]]) if more else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(s[out].view(np.int64)), pa.array(c[out, 0]), pa.array(c[out, 1])], ["sig", "k1", "k2"])
+
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if b != bucket and blobs:
-                yield shared(blobs)
-                blobs = []
+            if b != bucket and sig:
+                yield reduced(False)
+                held = 0
             bucket = b
-            blobs.append(blob.as_py())
-    if blobs:
-        yield shared(blobs)
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size and counts of the shingles in hash cells, at most one to a cell on average."""
+            read(blob.as_py())
+            held += len(sig[-1])
+            if held > CHUNK:
+                yield reduced(True)
+                held = 0
+    if sig:
+        yield reduced(False)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, k1, k2, text) those whose set has the key: node, text, set size and counts of the
+    shingles in hash cells, at most one to a cell on average."""
     for batch in batches:
-        buf, off = buffers(batch.column(1))
-        sizes, data = [], []
+        buf, off = buffers(batch.column(3))
+        want = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1)
+        ok, sizes, data = [], [], []
         for i, j in pieces(off, PIECE):
-            h, _, n = distinct_shingles(buf, off[i : j + 1])
+            h, r, n = distinct_shingles(buf, off[i : j + 1])
+            ok.append((set_keys(h, r, j - i) == want[i:j]).all(axis=1))
             at = 0
             for m in n.tolist():
                 cells = 1 << max(3, m.bit_length())
@@ -297,85 +323,117 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(m)
                 data.append(count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else None)
                 at += m
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["node", "n", "cells"])
+        if ok:
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["node", "text", "n", "cells"])
+            yield rows.filter(pa.array(np.concatenate(ok)))
 
 
 def _may_link(num: int, den: int):
+    """Of rows (a, b, n, cells), each a's own row (b null) before its partners: the pairs that can link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, x = 0, None
         for batch in batches:
-            ok = []
-            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            ok = np.zeros(len(batch), bool)
+            sizes = batch.column(2).to_numpy()
+            for i, y in enumerate(batch.column(3).to_pylist()):
+                y = None if y is None else np.frombuffer(y, np.uint8)
+                if not batch.column(1)[i].is_valid:
+                    m, x = int(sizes[i]), y
+                    continue
+                n = int(sizes[i])
                 most = min(n, m)
+                if most * den < max(n, m) * num:
+                    continue
                 if x is not None and y is not None:
-                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if len(x) < len(y):
-                        y = y.reshape(-1, len(x)).sum(axis=0)
-                    most = int(np.minimum(x, y).sum())
-                ok.append(den * most >= num * (n + m - most))
-            ok = pa.array(ok, pa.bool_())
+                    s, l = (x, y) if len(x) <= len(y) else (y, x)
+                    most = int(_bound(s, l[None, :])[0])
+                ok[i] = den * most >= num * (n + m - most)
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return run
 
 
 def _verify(num: int, den: int):
+    """Of rows (a, b, text), each a's own row (b null) before its partners: the pairs that link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            out = []
-            xb, xo = buffers(batch.column(2))
-            yb, yo = buffers(batch.column(3))
-            for i, j in pieces(xo + yo, PIECE):
-                xh, xr, xn = distinct_shingles(xb, xo[i : j + 1])
-                yh, yr, yn = distinct_shingles(yb, yo[i : j + 1])
-                h, r = np.concatenate([xh, yh]), np.concatenate([xr, yr])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                both = np.bincount(r[1:][(h[1:] == h[:-1]) & (r[1:] == r[:-1])], minlength=j - i) if len(h) else np.zeros(j - i, int)
-                out.append(den * both >= num * (xn + yn - both))
-            if out:
-                ok = pa.array(np.concatenate(out))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            buf, off = buffers(batch.column(2))
+            own = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            ok = np.zeros(len(batch), bool)
+            for i, j in pieces(off, PIECE):
+                h, r, n = distinct_shingles(buf, off[i : j + 1])
+                at = np.concatenate([[0], np.cumsum(n)])
+                stops = [i, *own[(own > i) & (own < j)].tolist(), j]
+                for p, q in zip(stops[:-1], stops[1:]):  # one a
+                    if len(own) and own[np.searchsorted(own, p) % len(own)] == p:
+                        x = h[at[p - i] : at[p - i + 1]]
+                        p += 1
+                    if p < q and len(x):
+                        y = h[at[p - i] : at[q - i]]
+                        hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                        both = np.bincount(r[at[p - i] : at[q - i]] - (p - i), weights=hit, minlength=q - p).astype(np.int64)
+                        ok[p:q] = den * both >= num * (n[p - i : q - i] + len(x) - both)
+            ok = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return run
 
 
+def _met(pairs: DataFrame, of: DataFrame, total: int, test) -> DataFrame:
+    """The pairs (a, b) that pass the test, which gets of's columns (node, ...) of a and then of its b's."""
+    count = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    dealt = join_counted(pairs, count, "a", total).select("a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("salt"), "b")
+    cols = [c for c in of.columns if c != "node"]
+    hubs = count.select("a", F.explode(F.expr("sequence(0, k - 1)")).alias("salt"), F.lit(None).cast("long").alias("b")).join(of.withColumnRenamed("node", "a"), "a")
+    both = hubs.unionByName(dealt.join(of.withColumnRenamed("node", "b"), "b")).select("a", "salt", "b", *cols)
+    n_tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = both.repartition(n_tasks, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", *cols).mapInArrow(test, "a long, b long")
+
+
 def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_key (0: no word) of every row."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_classes, "doc_id long, n_shingles long, set_key long")
+    """doc_id, n_shingles and the key k1, k2 (k1 0: no word) of every row's set."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_classes, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def candidates(docs: DataFrame, n_buckets: int, num: int = 75, den: int = 100) -> DataFrame:
-    """sig, set_key for every PartEnum signature that two classes or more have."""
+    """sig, k1, k2 for every PartEnum signature that two classes or more have."""
     blobs = docs.select("text").where("text is not null").mapInArrow(_emit(n_buckets, num, den), "bucket int, blob binary")
-    return blobs.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, "sig long, set_key long")
+    n_parts = min(n_buckets, PARTS)
+    return blobs.repartitionById(n_parts, F.col("bucket") % n_parts).sortWithinPartitions("bucket").mapInArrow(_shared, "sig long, k1 long, k2 long")
 
 
-def _drop_alone(cand: DataFrame, num: int, den: int, key: str = "set_key") -> DataFrame:
-    """Without the classes that have too few shared signatures in a group to link there."""
+def _group(sig: str = "sig"):
+    return F.col(sig).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _slack(num: int, den: int):
     bands = Bands(num, den)
-    slack = F.array(*[F.lit(bands.slack(g)) for g in range(len(bands.low) - 2)])
-    c = cand.withColumn("g", F.col("sig").bitwiseAND(F.lit(255)).cast("int"))
-    able = c.groupBy(key, "g").agg(F.count("*").alias("n")).where(F.col("n") >= F.get(slack, F.col("g"))).select(key, "g")
-    return c.join(able, [key, "g"], "left_semi").select(*cand.columns)
+    return F.get(F.array(*[F.lit(bands.slack(g)) for g in range(len(bands.low) - 2)]), _group())
+
 
+def _drop_alone(cand: DataFrame, num: int, den: int, *key: str) -> DataFrame:
+    """Without the classes that have too few shared signatures in a group to link there."""
+    own = Window.partitionBy(*key, _group())
+    return cand.withColumn("__n", F.count("*").over(own)).where(F.col("__n") >= _slack(num, den)).drop("__n")
 
-def _rarest(cand: DataFrame, num: int, den: int, key: str) -> DataFrame:
-    """Of a class's n signatures in a group, the n - slack + 1 that the fewest classes have.
 
-    Linking classes share `slack` of theirs, so the rarest of these is kept by both."""
-    bands = Bands(num, den)
-    slack = F.array(*[F.lit(bands.slack(g)) for g in range(len(bands.low) - 2)])
-    count = cand.groupBy("sig").agg(F.count("*").alias("in"))
-    c = cand.join(count, "sig").withColumn("g", F.col("sig").bitwiseAND(F.lit(255)).cast("int"))
-    own = Window.partitionBy(key, "g")
-    c = c.withColumn("at", F.row_number().over(own.orderBy("in", "sig"))).withColumn("n", F.count("*").over(own))
-    return c.where(F.col("at") <= F.col("n") - F.get(slack, F.col("g")) + 1).select(*cand.columns)
+def _rarest(cand: DataFrame, num: int, den: int) -> DataFrame:
+    """Of a node's signatures in a group, n in number, the n - slack + 1 that the fewest nodes (column
+    `in`) have. Linking nodes share `slack` of theirs, so the rarest of these is kept by both."""
+    own = Window.partitionBy("node", _group())
+    c = cand.withColumn("at", F.row_number().over(own.orderBy("in", "sig"))).withColumn("__n", F.count("*").over(own))
+    return c.where(F.col("at") <= F.col("__n") - _slack(num, den) + 1).drop("at", "__n")
 
 
-def _shared_only(cand: DataFrame) -> DataFrame:
-    return cand.join(cand.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "sig", "left_semi")
+def _by_signature(cand: DataFrame, total: int, keep: str, **more) -> DataFrame:
+    """cand with, of its signature, the number n of rows and more; for signatures with `keep`."""
+    per = cand.groupBy("sig").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()])
+    return join_counted(cand, per.where(keep), "sig", total)
 
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -416,16 +474,16 @@ def _compare_tile(num: int, den: int):
     return run
 
 
-def _open_pairs(open_: DataFrame, cells: DataFrame, num: int, den: int, tile: int = 1024) -> DataFrame:
+def _open_pairs(open_: DataFrame, cells: DataFrame, num: int, den: int, tile: int = 256) -> DataFrame:
     """Pairs a, b of classes that share a signature, maybe by way of others, in different components.
 
     A bloc is what the signatures of open_ connect. Tiles are of `tile` classes, those of the
     bloc's largest component apart; these are not compared among themselves."""
-    centre = open_.groupBy("sig").agg(F.min("node").alias("c"))
-    blocs = connected_components(open_.join(centre, "sig").where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")).distinct())
-    nodes = cut(
-        open_.select("node", "comp").distinct().join(blocs.withColumnRenamed("component", "bloc"), "node").join(cells, "node")
-    )
+    total = open_.count()
+    links = cut_table(_by_signature(open_, total, "n > 1", c=F.min("node")).where("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")))
+    blocs = connected_components(links)
+    nodes = cut_table(open_.select("node", "comp").distinct().join(blocs.withColumnRenamed("component", "bloc"), "node").join(cells, "node"))
+    drop(links, blocs)
     largest = nodes.groupBy("bloc", "comp").agg(F.count("*").alias("m")).groupBy("bloc").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"))
     n = nodes.join(largest, "bloc").select(
         "bloc", "node", "comp", "n", "cells",
@@ -441,59 +499,87 @@ def _open_pairs(open_: DataFrame, cells: DataFrame, num: int, den: int, tile: in
     among = n.where("outer").select(*rows, F.explode(F.expr("transform(sequence(0, k_out - 1), u -> struct(least(own, u) as t, -1 - greatest(own, u) as u))")).alias("at"))
     tiles = cross.unionByName(among).select("bloc", "at.t", "at.u", *rows[1:])
     n_tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work
-    return tiles.repartition(n_tasks, "bloc", "t", "u").groupBy("bloc", "t", "u").applyInArrow(_compare_tile(num, den), "a long, b long").distinct()
+    pairs = cut_table(tiles.repartition(n_tasks, "bloc", "t", "u").groupBy("bloc", "t", "u").applyInArrow(_compare_tile(num, den), "a long, b long").distinct())
+    drop(nodes)
+    return pairs
+
+
+def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Links a, b between the classes of one doc_id, if any id has several."""
+    known = rows.where("k1 <> 0 and doc_id is not null")
+    several = cut_table(known.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y"), F.count("*").alias("n")).where("x <> y"))
+    if several.isEmpty():
+        drop(several)
+        return None
+    pairs = join_counted(known, several.select("doc_id", "x", "n"), "doc_id", rows.count()).select("k1", "k2", "x.*").toDF("k1", "k2", "x1", "x2").distinct()
+    pairs = pairs.join(reps.select("k1", "k2", F.col("node").alias("a")), ["k1", "k2"]).join(reps.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("node").alias("b")), ["x1", "x2"])
+    links = cut_table(pairs.select("a", "b"))
+    drop(several)
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", num: int = 75, den: int = 100, n_buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see the module."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = cut_table(classes_of(docs))
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     if n_buckets is None:
-        total = rows.agg(F.sum("n_shingles")).first()[0] or 0
         n_buckets = max(8, math.ceil(total / 2_000_000))
-    reps = rows.where("set_key <> 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    cand = cut_table(_drop_alone(candidates(docs, n_buckets, num, den), num, den))
-    cand = _drop_alone(_shared_only(cand), num, den)
-    cand = cut_table(cand.join(reps, "set_key").select("sig", F.col("rep").alias("node"), "set_key"))
-    # Texts of the candidates only: a representative's row is that of its id and its set.
-    wanted = cand.select("node", "set_key").distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
-    texts = cut_table(texts.distinct())
-    cells = cut_table(texts.mapInArrow(_sketches, "node long, n long, cells binary"))
-    links = None
-    nodes = cand.select("sig", "node")
-    done = None
-    for step in ("least", "all"):
-        if links is None:
-            open_ = nodes.withColumn("comp", F.col("node"))
-        else:
-            comp = connected_components(links)
-            open_ = nodes.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-            # Linking classes in different components share `slack` signatures that are mixed.
-            mixed = open_.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-            open_ = cut(_drop_alone(open_.join(mixed, "sig", "left_semi"), num, den, "node"))
-        if step == "all":
-            rare = cut(_rarest(open_, num, den, "node"))
-            mixed = rare.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-            pairs = _open_pairs(cut(rare.join(mixed, "sig", "left_semi")), cells, num, den)
-        else:
-            centre = open_.groupBy("sig").agg(F.min(F.struct("node", "comp")).alias("c"))
-            pairs = open_.join(centre, "sig").where("comp <> c.comp").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-            x = cells.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("cells").alias("ac"))
-            y = cells.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("cells").alias("bc"))
-            pairs = pairs.join(x, "a").join(y, "b").where(f"least(an, bn) * {den} >= greatest(an, bn) * {num}")
-            pairs = pairs.select("a", "b", "an", "bn", "ac", "bc").mapInArrow(_may_link(num, den), "a long, b long").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        x = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-        y = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-        good = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long"))
-        links = good if links is None else links.unionByName(good)
-    comp = connected_components(links)
-    found = reps.join(comp, reps.rep == comp.node).select("set_key", "component")
-    known = reps.join(found, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    # A doc_id with several texts joins their classes.
-    out = rows.join(known, "set_key", "left")
+    reps = rows.where("k1 <> 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    reps = cut_table(reps.withColumn("node", F.monotonically_increasing_id()))
+    met = cut_table(candidates(docs, n_buckets, num, den))
+    named = cut_table(_drop_alone(met.join(reps.select("k1", "k2", "node"), ["k1", "k2"]), num, den, "k1", "k2").select("sig", "node"))
+    drop(met)
+    n = named.count()
+    cand = cut_table(_drop_alone(_by_signature(named, n, "n > 1"), num, den, "node").select("sig", "node"))
+    drop(named)
+    # Texts of the candidates only, one for each class.
+    wanted = cand.select("node").distinct().join(reps, "node").select("node", "rep", "k1", "k2")
+    texts = docs.join(wanted, docs.doc_id == wanted.rep).withColumn("m", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "node", "m"])
+    texts = cut_table(texts.select("node", "k1", "k2", "text").mapInArrow(_read, "node long, text string, n long, cells binary"))
+    cells = texts.select("node", "n", "cells")
+    same = _same_id(rows, reps)
+
+    def tested(pairs: DataFrame, bound: bool) -> DataFrame:
+        if bound:
+            passed = cut_table(_met(pairs, cells, pairs.count(), _may_link(num, den)))
+            drop(pairs)
+            pairs = passed
+        good = cut_table(_met(pairs, texts.select("node", "text"), pairs.count(), _verify(num, den)))
+        drop(pairs)
+        return good
+
+    def joined(links: list[DataFrame]) -> DataFrame:
+        both = links[0]
+        for x in links[1:]:
+            both = both.unionByName(x)
+        return connected_components(both)
+
+    n = cand.count()
+    least = _by_signature(cand, n, "n > 1", c=F.min("node")).where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+    links = [tested(cut_table(least), True), *([same] if same is not None else [])]
+    comp = joined(links)
+    # Linking classes in different components share `slack` signatures that are mixed.
+    open_ = cand.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = dict(keep="c0 <> c1", c0=F.min("comp"), c1=F.max("comp"))
+    open_ = cut_table(_drop_alone(_by_signature(open_, n, **mixed).select("sig", "node", "comp"), num, den, "node"))
+    drop(cand, comp)
+    n = open_.count()
+    if n:
+        rare = cut_table(_rarest(_by_signature(open_, n, "n > 1").withColumnRenamed("n", "in"), num, den).select("sig", "node", "comp"))
+        left = cut_table(_by_signature(rare, rare.count(), **mixed).select("sig", "node", "comp"))
+        drop(open_, rare)
+        links.append(tested(_open_pairs(left, cells, num, den), False))
+        drop(left)
+    drop(texts)
+    comp = joined(links)
+    drop(*links)
+    # A component's name is its least doc_id.
+    linked = cut_table(comp.join(reps.select("node", "rep"), "node"))
+    drop(comp)
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    named = join_counted(linked, least, "component", linked.count()).select("node", "least")
+    known = cut_table(reps.join(named, "node", "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component")))
+    drop(linked, reps)
+    out = join_counted(rows, known, ["k1", "k2"], n_rows, how="left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

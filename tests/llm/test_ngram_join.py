@@ -108,3 +108,47 @@ def test_test_table(spark):
     rows = [tuple(r) for r in docs.collect()]
     want, _ = brute(rows)
     assert result(spark, rows) == want
+
+
+def test_one_id_with_two_texts_joins_their_classes(spark):
+    a, b = "one two three four five six seven eight", "red green blue black white grey pink cyan"
+    rows = [(2, a), (5, a), (5, b), (9, b), (7, None), (None, a), (11, "x")]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 2), (5, 2), (9, 2), (7, 7), (None, None), (11, 11)}
+
+
+def test_reducer_in_chunks_loses_no_signature(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from keyreel.llm import ngram_join as m
+
+    rng = np.random.default_rng(4)
+    entries = [(int(s), int(c)) for s, c in zip(rng.integers(0, 400, 3000), rng.integers(0, 60, 3000))]
+    entries += [(1000, c) for c in range(60)]
+    blobs = []
+    for i in range(0, len(entries), 170):
+        part = sorted(entries[i : i + 170])
+        names = sorted({c for _, c in part})
+        key = np.array([[c + 1, -c] for c in names], np.int64)
+        own = np.array([names.index(c) for _, c in part], "<u2")
+        blobs.append(np.array([len(part), len(names)], "<i8").tobytes() + key.tobytes() + own.tobytes() + m._planes(np.array([s for s, _ in part], np.uint64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    by = {}
+    for s, c in entries:
+        by.setdefault(s, set()).add(c)
+    want = {(s, c + 1, -c) for s, cs in by.items() if len(cs) > 1 for c in cs}
+    for chunk in (300, 10**6):
+        monkeypatch.setattr(m, "CHUNK", chunk)
+        out = pa.Table.from_batches(list(m._shared(iter([batch]))))
+        assert {tuple(r.values()) for r in out.to_pylist()} == want
+
+
+def test_pairs_of_a_large_group_come_through(spark, monkeypatch):
+    from keyreel.llm import ngram_join as m
+
+    monkeypatch.setattr(m, "MEMBERS", 3)
+    base = ["w%d" % i for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + ["end%d" % i])) for i in range(40)] + [(100 + i, " ".join("%s-%d" % (w, i) for w in base)) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(5)}
