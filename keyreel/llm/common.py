@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,36 @@ def parts_for(df: DataFrame, rows: int) -> int:
     return max(1, min(most, max(min(8, spark.sparkContext.defaultParallelism), -(-rows // CHUNK))))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, also where f reads it in a lambda, which would do so for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def with_prefix(values: Column, zero: Column, op: Callable[[Column, Column], Column], f: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """f(before) with before(i) the fold by op of the array's first i values.
+
+    Appending copies an array, so the folds are those of blocks of about cbrt(n) values and of
+    the blocks before: n ** (4 / 3) steps, not n ** 2."""
+
+    def grown(a: Column, x: Column) -> Column:
+        return F.concat(a, F.array(op(F.element_at(a, -1), x)))
+
+    def blocks(v: Column, b: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / b)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(v, k * b + 1, b), F.array(zero), grown))
+
+    def ready(b: Column, inner: Column, outer: Column) -> Column:
+        def before(i: Column) -> Column:
+            k = F.floor(i / b).cast("int")
+            return op(F.get(outer, k), F.get(F.get(inner, k), i % b))
+
+        return f(before)
+
+    size = lambda v: F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(v)))).cast("int")
+    sums = lambda inner: F.aggregate(inner, F.array(zero), lambda a, x: grown(a, F.element_at(x, -1)))
+    return let(values, lambda v: let(size(v), lambda b: let(blocks(v, b), lambda inner: let(sums(inner), lambda outer: ready(b, inner, outer)))))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0)).cast("int")

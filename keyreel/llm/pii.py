@@ -14,6 +14,9 @@ The counts of (kind, votes, features) come from all documents; there are at most
 of them, whatever the input. They alone reach the driver, where both models are fitted. All
 else is SQL functions: no Python runs on the executors.
 
+Places of matches are running sums of the lengths of what lies between them, taken by blocks,
+so a text with very many matches takes little more than its share of the time.
+
 Offsets are code points, ends exclusive. Null texts are empty and have no spans, nor have
 texts without a match. Spans of different kinds may overlap. The patterns' possessive forms
 and anchors keep long runs of digits or letters linear, and match the same strings as the
@@ -28,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyreel.llm.common import let, with_prefix
+
 KINDS = ("email", "ip", "card", "phone", "secret", "masked")
 #: A run can only begin where it is not preceded by its own characters, or where the match before it ended.
 PATTERNS = {
@@ -40,24 +45,47 @@ PATTERNS = {
 }
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": "[=:]", "masked": r"[\[(][aA][tT][\])]"}
 _MARK, _OTHER = "\x01", "\x02"
+BLOCK = 256
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu"
-_KEY_WORDS = "token|secret|password|passwd|pwd|key|apikey|api_key|access|auth|credential"
+#: The gazetteer, fixed values. General and country top domains:
+_TOP_DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|io|ai|app|dev|cloud|online|site|tech|shop|me|tv|cc|co|"
+    "ar|at|au|be|bg|br|ca|ch|cl|cn|cz|de|dk|ee|es|eu|fi|fr|gr|hk|hr|hu|id|ie|il|in|ir|is|it|jp|kr|li|lt|lu|lv|mx|my|"
+    "nl|no|nz|pe|ph|pl|pt|ro|rs|ru|se|sg|si|sk|th|tr|tw|ua|uk|us|vn|za"
+)
+#: Country codes by world zone, as numbering plans deal them out:
+_COUNTRY_CODES = r"1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9]"
+#: Leading digits of the issuers of payment cards:
+_ISSUERS = "4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|6(?:011|22|4[4-9]|5)|35(?:2[89]|[3-8])|5[06-8]|6[0-9]"
+#: Words that name a secret:
+_KEY_WORDS = (
+    "token|secret|password|passwd|passphrase|passcode|pwd|pass|pin|key|apikey|api_key|access_key|secret_key|private_key|client_secret|"
+    "access|auth|authorization|bearer|credential|credentials|session|sessionid|cookie|signature|salt|license_key|refresh_token|access_token"
+)
+#: First octets that no host has: this network, loopback, multicast and reserved ones.
+_NO_HOSTS = "0+|127|22[4-9]|2[34][0-9]|25[0-5]"
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """array<struct<s, e, v, l>>: start, end, value and up to 24 characters before it."""
+    """array<struct<s, e, v, l, r>>: start, end, value, up to 24 characters before it and one after it."""
     put = f"$1{_MARK}$2{_MARK}" if kind == "secret" else f"{_MARK}$0{_MARK}"
+    # Even parts lie between matches, odd ones are matches.
     parts = F.split(F.regexp_replace(text, F.lit(PATTERNS[kind]), F.lit(put)), _MARK)
-    zero = F.expr("named_struct('p', 0, 'i', 0, 'l', '', 'out', cast(array() as array<struct<s:int,e:int,v:string,l:string>>))")
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["p"] + F.length(x)
-        found = F.concat(a["out"], F.array(F.struct(a["p"].alias("s"), end.alias("e"), x.alias("v"), a["l"].alias("l"))))
-        return F.struct(end.alias("p"), (a["i"] + 1).alias("i"), F.right(x, F.lit(24)).alias("l"), F.when(a["i"] % 2 == 1, found).otherwise(a["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        def all_(before) -> Column:
+            def one(j: Column) -> Column:
+                i = j * 2 + 1
+                s, v = before(i), F.get(p, i)
+                return F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), F.right(F.get(p, i - 1), F.lit(24)).alias("l"), F.left(F.get(p, i + 1), F.lit(1)).alias("r"))
+
+            return F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / 2).cast("int") - 1), one)
+
+        return with_prefix(F.transform(p, F.length), F.lit(0), lambda a, x: a + x, all_)
 
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string,l:string>>)")
-    return F.when(F.rlike(text, F.lit(GATES[kind])), F.aggregate(parts, zero, step, lambda a: a["out"])).otherwise(none)
+    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string,l:string,r:string>>)")
+    some = let(parts, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(none))
+    return F.when(F.rlike(text, F.lit(GATES[kind])), some).otherwise(none)
 
 
 def _digits(v: Column) -> Column:
@@ -91,13 +119,13 @@ def _valid(kind: str, v: Column) -> Column:
 def _gazetteer(kind: str, v: Column, left: Column) -> Column:
     yes, no, none = F.lit(1), F.lit(0), F.lit(2)
     if kind in ("email", "masked"):
-        return F.when(F.rlike(F.lower(v), F.lit(rf"(?:{_TOP_DOMAINS})$")), yes).otherwise(none)
+        return F.when(F.rlike(F.lower(v), F.lit(rf"\b(?:{_TOP_DOMAINS})$")), yes).otherwise(none)
     if kind == "card":
-        return F.when(F.rlike(v, F.lit("^[3-6]")), yes).otherwise(none)
+        return F.when(F.rlike(_digits(v), F.lit(rf"^(?:{_ISSUERS})")), yes).otherwise(none)
     if kind == "phone":
-        return F.when(F.rlike(v, F.lit(r"^\+(?:1|33|34|44|49)\b")), yes).otherwise(none)
+        return F.when(F.rlike(v, F.lit(rf"^\+(?:{_COUNTRY_CODES})")), yes).otherwise(none)
     if kind == "ip":
-        return F.when(F.rlike(v, F.lit(r"^0+\.")), no).otherwise(none)
+        return F.when(F.rlike(v, F.lit(rf"^(?:{_NO_HOSTS})\.")), no).otherwise(none)
     return F.when(F.rlike(F.lower(left), F.lit(rf"(?:{_KEY_WORDS})\s*[=:]\s*[\"']?$")), yes).otherwise(no)
 
 
@@ -115,7 +143,7 @@ def candidates(text: Column) -> Column:
         def judged(m: Column) -> Column:
             v, left = m["v"], m["l"]
             valid = _valid(kind, v)
-            before, after = _side(F.right(left, F.lit(1))), _side(F.substring(clean, m["e"] + 1, F.lit(1)))
+            before, after = _side(F.right(left, F.lit(1))), _side(m["r"])
             variety = F.size(F.array_distinct(F.split(F.left(v, F.lit(64)), "")))
             length = F.length(v)
             fmt = F.when(valid, 1).otherwise(0)
@@ -207,7 +235,7 @@ class SpanModel:
             return ((x["kind"] < 4) & x["valid"]) | (total > 0)
 
         kept = F.filter(candidates(text), accepted)
-        return F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), ((x["kind"] < 4) & x["valid"]).alias("base"))))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), ((x["kind"] < 4) & x["valid"]).alias("base"))))
 
 
 def fit(docs: DataFrame) -> SpanModel:
@@ -240,11 +268,28 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text, sp = F.col("text").cast("string"), F.col("__sp")
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.concat(a["out"], F.substring(text, a["p"] + 1, x["s"] - a["p"]), F.get(names, x["kind"]))
-        return F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when(x["s"] >= a["p"], gap).otherwise(a["out"]).alias("out"))
+    def replaced(c: Column, sp: Column) -> Column:
+        """c: the text in blocks of BLOCK code points, so that reading at a place does not count from the start."""
+
+        def between(p: Column, s: Column) -> Column:
+            i, j = F.floor(p / BLOCK).cast("int"), F.floor(s / BLOCK).cast("int")
+            first = lambda n: F.substring(F.get(c, i), p % BLOCK + 1, n)
+            whole = F.array_join(F.slice(c, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+            more = F.concat(first(F.lit(BLOCK)), whole, F.coalesce(F.substring(F.get(c, j), F.lit(1), s % BLOCK), F.lit("")))
+            return F.when(s <= p, F.lit("")).when(i == j, first(s - p)).otherwise(more)
+
+        def all_(reached) -> Column:
+            # A span that begins before the end of an earlier one is a part of what that one replaces.
+            def one(x: Column, i: Column) -> Column:
+                return F.when(x["s"] >= reached(i), F.concat(between(reached(i), x["s"]), F.get(names, x["kind"]))).otherwise("")
+
+            total = F.lit(BLOCK) * (F.size(c) - 1) + F.length(F.element_at(c, -1))
+            return F.concat(F.array_join(F.transform(sp, one), ""), between(reached(F.size(sp)), total))
+
+        return with_prefix(F.transform(sp, lambda x: x["e"]), F.lit(0), F.greatest, all_)
 
-    done = F.aggregate(sp, F.struct(F.lit(0).alias("p"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["p"] + 1, F.length(text))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+    done = let(blocks, lambda c: let(sp, lambda x: replaced(c, x)))
     out = docs.withColumn("__sp", fit(docs).spans(F.col("text")))
     cols = [F.when(F.size("__sp") > 0, done).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = out.select(*cols)

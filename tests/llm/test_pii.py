@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,6 +69,30 @@ def test_redacted(spark):
     assert (got[2].text, got[3].text, got[3].n_chars) == ("nothing", None, 0)
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Eight times the matches take at most about eight times the time, and all are right."""
+
+    def took(n):
+        text = " é ".join(f"u{i}@h{i}.example.com 10.0.{i % 256}.1" for i in range(n))
+        docs = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+        began = time.perf_counter()
+        got, red = found(docs).collect(), redacted(docs).first()
+        seconds = time.perf_counter() - began
+        check([(1, text)], got)
+        assert red.text == " é ".join(["[EMAIL] [IP]"] * n) and red.n_chars == len(red.text)
+        return seconds
+
+    took(100)
+    small, large = took(6_000), took(48_000)
+    assert large < 10 * small + 5
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    # The card's digits are a phone's as well: the earlier of them is replaced, the other with it.
+    docs = spark.createDataFrame([(1, "x" * 300 + " +4111 1111 1111 1111 end", 5)], "doc_id long, text string, n_chars long")
+    assert redacted(docs).first().text in ("x" * 300 + " +[CARD] end", "x" * 300 + " [PHONE] end")
+
+
 def test_empty_and_no_candidates(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     r = found(spark.createDataFrame([(1, "no data")], "doc_id long, text string")).first()
