@@ -7,14 +7,18 @@ trimmed) and hashed. The paragraphs and the single lines of the unquoted part of
 hashed alike. A quoted passage belongs to the latest earlier message of its conversation
 that has it unquoted as a paragraph or line, or else to the latest that holds all of its lines,
 each as a run of words in an unquoted paragraph: so trimmed and rewrapped quotes link as well. A message answers the one that its outermost linked passages
-belong to, the latest of these. From the links the conversation's reply tree is built
-by doubling: each round, a message takes over the path of the ancestor it knows. Rows are
-range-sorted by conversation and path, so that answers follow what they answer.
+belong to, the latest of these. From the links the conversation's reply trees are built
+by doubling: each round, a message takes over the ancestor that the ancestor it knows knows, and adds the
+distances. A message so gets its tree's first message and its depth in it, whatever the length of
+the chain, not a list of all ancestors. Rows are range-sorted by conversation, tree, depth and turn: answers follow
+what they answer, level by level.
 
 Only SQL functions are used. Quotes look for messages by a union and a window of one
 conversation and passage, without a row for every pair. Runs of words are found by their first
 ANCHOR words, once for each distinct paragraph of a conversation, and then by their hash; a passage of
-several lines is sought among the messages that hold the rarest of them.
+several lines is sought among the messages that hold the rarest of them. A text's lines are worked out
+once and read by place, so the time grows with the text's length, however many lines, marks or
+announcements it has.
 
 Null or empty texts have no line: clean_text is empty. A null conv_id or turn links with
 nothing. Repeated rows of one (conv_id, turn) are one message with several texts: each row
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyreel.llm.common import cut
+from keyreel.llm.common import cut, join_counted, let
 
 _MARKS = r"^[\x20\t]?(?:>[\x20\t]?)+"
 _ANNOUNCES = r"(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$"
@@ -50,27 +54,33 @@ def _parsed(text: Column) -> Column:
 
 def _marked(lines: Column) -> Column:
     """Lines without the announcements right before a quote."""
-    n = F.size(lines)
-    return F.filter(lines, lambda x, i: ~((x["depth"] == 0) & F.rlike(x["body"], F.lit(_ANNOUNCES)) & (i + 1 < n) & (F.coalesce(F.get(lines, i + 1)["depth"], F.lit(0)) > 0)))
+
+    def rest(v: Column) -> Column:
+        return F.filter(v, lambda x, i: ~((x["depth"] == 0) & F.rlike(x["body"], F.lit(_ANNOUNCES)) & (F.coalesce(F.get(v, i + 1)["depth"], F.lit(0)) > 0)))
+
+    return let(lines, rest)
 
 
 def _passages(lines: Column) -> Column:
     """array<struct<depth, body>>: adjacent lines of one level joined by line ends; blank lines divide."""
-    zero = F.expr("named_struct('d', -1, 'b', '', 'out', cast(array() as array<struct<depth:int,body:string>>))")
+    blank = lambda x: F.rlike(x["body"], F.lit(r"^\s*$"))
+    none = F.expr("cast(array() as array<struct<depth:int,body:string>>)")
+
+    def of(v: Column) -> Column:
+        def begins(i: Column) -> Column:
+            x, before = F.get(v, i), F.get(v, i - 1)
+            return ~blank(x) & ((i == 0) | blank(before) | (before["depth"] != x["depth"]))
+
+        def joined(starts: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                run = F.slice(v, i + 1, F.coalesce(F.get(starts, k + 1), F.size(v)) - i)
+                return F.struct(F.get(v, i)["depth"].alias("depth"), F.array_join(F.transform(F.filter(run, lambda x: ~blank(x)), lambda x: x["body"]), "\n").alias("body"))
 
-    def put(a: Column) -> Column:
-        return F.when(a["d"] >= 0, F.concat(a["out"], F.array(F.struct(a["d"].alias("depth"), a["b"].alias("body"))))).otherwise(a["out"])
+            return F.transform(starts, one)
 
-    def step(a: Column, x: Column) -> Column:
-        blank = F.rlike(x["body"], F.lit(r"^\s*$"))
-        goes_on = (a["d"] == x["depth"]) & ~blank
-        return F.struct(
-            F.when(blank, -1).otherwise(x["depth"]).alias("d"),
-            F.when(goes_on, F.concat(a["b"], F.lit("\n"), x["body"])).when(blank, "").otherwise(x["body"]).alias("b"),
-            F.when(goes_on, a["out"]).otherwise(put(a)).alias("out"),
-        )
+        return F.when(F.size(v) > 0, let(F.filter(F.sequence(F.lit(0), F.size(v) - 1), begins), joined)).otherwise(none)
 
-    return F.aggregate(lines, zero, step, put)
+    return let(lines, of)
 
 
 def _hash(body: Column) -> Column:
@@ -117,9 +127,24 @@ def _latest(quoted: DataFrame, source: DataFrame) -> DataFrame:
     return both.withColumn("parent", F.max("at").over(before)).where("depth is not null").drop("at")
 
 
+def _trees(parents: DataFrame) -> DataFrame:
+    """parents (conv_id, turn, parent, n_linked) with root and depth; the known ancestor's distance doubles."""
+    t = parents.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"))
+    while True:
+        n = t.count()
+        above = t.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        many = t.groupBy("conv_id", "up").agg(F.count("*").alias("n")).join(above, ["conv_id", "up"], "left")
+        grown = join_counted(t, many, ["conv_id", "up"], n, how="left")
+        t = cut(grown.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("moved")))
+        if t.where("moved").isEmpty():
+            break
+        t = t.drop("moved")
+    return parents.join(t.select("conv_id", "turn", F.col("up").alias("root"), F.col("far").alias("depth")), ["conv_id", "turn"])
+
+
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, clean_text, n_quotes, n_linked, parent_turn, path (turns from the first
-    message of the tree to this one), sorted by conv_id and path."""
+    """conv_id, turn, role, clean_text, n_quotes, n_linked, parent_turn, root_turn (first message of the
+    tree), depth (answers between that one and this), sorted by conv_id, root_turn, depth and turn."""
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), _marked(_parsed(F.col("text"))).alias("lines"))
     has = F.exists("lines", lambda x: x["depth"] > 0)
     quoted = m.where(has).select("conv_id", "turn", F.explode(_passages(F.col("lines"))).alias("p")).where("p.depth > 0")
@@ -142,19 +167,12 @@ def linked(messages: DataFrame) -> DataFrame:
         found = found.unionByName(_latest(rest, part).where("parent is not null"))
     # The outermost linked passages decide, and of their messages the latest.
     parents = cut(found.groupBy("conv_id", "turn").agg(F.min(F.struct("depth", (-F.col("parent")).alias("p"))).alias("x"), F.sum("n").alias("n_linked")).select("conv_id", "turn", (-F.col("x.p")).alias("parent"), "n_linked"))
-    paths = cut(parents.select("conv_id", "turn", F.col("parent").alias("up"), F.array("parent", "turn").alias("path")))
-    while True:  # the known part of the path doubles
-        above = paths.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        grown = paths.join(above, ["conv_id", "up"], "left")
-        if grown.where("up2 is not null").limit(1).count() == 0:
-            break
-        rest = F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", F.slice("path", F.lit(2), F.size("path"))))
-        paths = cut(grown.select("conv_id", "turn", F.when(F.col("path2").isNull(), F.lit(None).cast("long")).otherwise(F.col("up2")).alias("up"), rest.alias("path")).withColumn("up", F.coalesce("up", F.element_at("path", 1))))
-    tree = parents.join(paths.select("conv_id", "turn", "path"), ["conv_id", "turn"])
+    tree = _trees(parents)
     counts = F.size(F.filter(_passages(F.col("lines")), lambda p: p["depth"] > 0))
     clean = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"\n{3,}", "\n\n")
     out = m.select("conv_id", "turn", "role", F.when(has, F.regexp_replace(clean, r"^\s+|\s+$", "")).otherwise(clean).alias("clean_text"), F.when(has, counts).otherwise(0).cast("long").alias("n_quotes"))
     out = out.join(tree, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", "clean_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("parent").alias("parent_turn"), F.coalesce("path", F.array("turn")).alias("path")
+        "conv_id", "turn", "role", "clean_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )
-    return out.orderBy("conv_id", "path")
+    return out.orderBy("conv_id", "root_turn", "depth", "turn")
