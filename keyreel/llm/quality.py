@@ -7,7 +7,8 @@ mean of a text's weights: a sparse dot product, taken over the whole text in pie
 
 fit() learns from at most `sample` labelled rows, those of the smallest hashed ids; that is
 the documented bound of its input, and of what reaches the driver (sparse vectors of the
-sampled rows, at most 2**bits entries each). Nothing else is bounded.
+sampled rows, at most 2**bits entries each). Of an id with several texts the one with the least
+vector is learned from. Nothing else is bounded.
 
 Null or empty texts, and texts of separators only, get the score of the bias alone. Rows
 without a label, or with a null one, are scored but not learned from; without any
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyreel.llm.common import crc_mod
@@ -124,10 +125,12 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = 18, sample: int = 3000, epochs: int = 4) -> QualityModel:
     """A model of `label` (1 or 0) from at most `sample` rows of labels and their documents."""
     given = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    given = given.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(given), "doc_id").select("doc_id", "label", "text")  # at most `sample` rows
-    got = rows.mapInArrow(_vectors(bits), "doc_id long, label int, idx binary, val binary").limit(2 * sample).toArrow().to_pylist()
+    vectors = rows.mapInArrow(_vectors(bits), "doc_id long, label int, idx binary, val binary")
+    first = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("idx", "val"))
+    got = vectors.withColumn("r", first).where("r = 1").drop("r").toArrow().to_pylist()
     got.sort(key=lambda r: (int(mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["label"], r["idx"]))
     examples = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32).astype(np.float64), r["label"]) for r in got]
     return QualityModel(*ftrl(examples, bits, epochs), bits)
