@@ -3,14 +3,16 @@
 Each language's training text gives counts of bytes after contexts of up to `order` bytes.
 A byte seen after its context costs -log2(n / (total + distinct)); the escape mass
 distinct / (total + distinct) goes to the other bytes, in proportion to what the context
-without its first byte gives them (for the empty context: evenly). The counts are frozen,
-so the code length of a byte depends on the longest known context only: one table over
-(context, byte, language) holds them all, and a text's code lengths are sums of its rows.
-The language with the shortest code is predicted; `score` is its share of 2 ** -bits.
+without its first byte gives them (for the empty context: evenly). The counts are frozen.
+The trees of all languages are one sparse table: a row for each (context, byte) that any
+language has seen, with every language's code length, and a row for each context with
+what an escape from it costs. A byte is looked up after its longest context, and after shorter ones
+at the cost of the escapes, until it is found. The language with the shortest code is predicted; `score` is its share of 2 ** -bits.
 
 fit() learns from at most `sample` rows of each language, those of the smallest hashed ids,
-and keeps the `contexts` most frequent contexts; both are documented bounds of the model.
-At most `languages` languages are learned, the most frequent ones.
+and from at most `most` rows in all, of which every language gets the same number as far as it
+has them. These are the documented bounds of its input; all languages and all counts of these rows
+are in the model.
 
 Predicted is `und`, score 0, for texts that are null or have no letter, and for all texts
 when nothing could be learned. Rows with a null language or text are not learned from.
@@ -57,87 +59,114 @@ def _count(order: int):
     return run
 
 
+class _Find:
+    """Places of distinct 64-bit keys: a hash table for the first keys of its slots, another one for the rest."""
+
+    def __init__(self, keys: np.ndarray):
+        self.tables = []
+        at = np.arange(len(keys))
+        odd = 0x9E3779B97F4A7C15
+        while True:
+            bits = max(4, int(8 * len(at)).bit_length())
+            slot = self._slot(keys[at], odd, bits)
+            _, first = np.unique(slot, return_index=True)
+            key, place, more = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool)
+            key[slot[first]], place[slot[first]] = keys[at[first]], at[first]
+            rest = np.setdiff1d(np.arange(len(at)), first)
+            more[slot[rest]] = True
+            self.tables.append((odd, bits, key, place, more))
+            if not len(rest):
+                return
+            at, odd = at[rest], odd * 0xD1342543DE82EF95 + 2 & (1 << 64) - 1 | 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray, odd: int, bits: int) -> np.ndarray:
+        return ((keys + np.uint64(1)) * np.uint64(odd) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code among the keys, or -1."""
+        out = np.full(len(codes), -1, np.int32)
+        todo = None
+        for odd, bits, key, place, more in self.tables:
+            c = codes if todo is None else codes[todo]
+            slot = self._slot(c, odd, bits)
+            found = np.where(key[slot] == c, place[slot], -1)
+            if todo is None:
+                out = found
+            else:
+                out[todo] = found
+            go = np.flatnonzero((found < 0) & more[slot])
+            todo = go if todo is None else todo[go]
+            if not len(todo):
+                break
+        return out
+
+
 class LanguageModel:
-    """counts: {(language, k): {gram: n}}."""
-
-    def __init__(self, counts: dict[tuple[str, int], dict[int, int]], order: int, contexts: int):
-        self.langs = sorted({lang for lang, _ in counts})
-        self.order = order
-        n_langs = len(self.langs)
-        seen = sorted({g for (_, k), own in counts.items() if k == 0 for g in own})
-        self.symbol = np.zeros(256, np.int32)  # 0: a byte that no training text has
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.size = size = len(seen) + 1
-        # Contexts by length: the parent (without the first byte) of a kept one is kept too, as it is
-        # at least as frequent, and shorter ones come first among equals.
-        total: dict[tuple[int, int], int] = {}
-        for (_, k), own in counts.items():
-            for g, n in own.items():
-                total[k, g >> 8] = total.get((k, g >> 8), 0) + n
-        kept = sorted(total, key=lambda c: (-total[c], c))[: max(1, contexts)]
-        kept.sort()
-        self.node = {c: i for i, c in enumerate(kept)}
-        bits = np.empty((len(kept), size, n_langs), np.float32)
-        for li, lang in enumerate(self.langs):
-            prob: dict[int, np.ndarray] = {}
-            after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for k in range(order + 1):
-                for g, n in counts.get((lang, k), {}).items():
-                    if (k, g >> 8) in self.node:
-                        after.setdefault((k, g >> 8), []).append((int(self.symbol[g & 255]), n))
-            for k, ctx in kept:
-                below = np.full(size, 1 / 256) if k == 0 else prob[self._shorter(k, ctx)]
-                p = below
-                if (k, ctx) in after:
-                    s, n = (np.array(v) for v in zip(*after[k, ctx]))
-                    all_, kinds = n.sum(), len(s)
-                    p = below.copy()
-                    p[s] = 0
-                    left = p.sum() + below[0] * (256 - size)  # symbol 0 stands for each byte without one
-                    p *= kinds / (all_ + kinds) / left if left > 0 else 0
-                    p[s] = n / (all_ + (kinds if left > 0 else 0))
-                prob[self.node[k, ctx]] = p
-                bits[self.node[k, ctx], :, li] = -np.log2(np.maximum(p, 1e-12))
-        self.bits = bits.reshape(len(kept) * size, n_langs)
-        # Context numbers by suffix growth: grown[k][number of the last k bytes (0: unknown), symbol]
-        # is the number of the last k + 1 bytes.
-        number = [{c: i + 1 for i, (kk, c) in enumerate([x for x in kept if x[0] == k])} for k in range(order + 1)]
-        self.base = [np.array([0] + [self.node[k, c] for c in number[k]], np.int32) for k in range(order + 1)]
-        self.grown = []
-        for k in range(order):
-            t = np.zeros((len(number[k]) + 1, size), np.int32)
-            for c, i in number[k + 1].items():
-                head = number[k].get(c >> 8, 0) if k else 1
-                if head:
-                    t[head, self.symbol[c & 255]] = i
-            self.grown.append(t)
-
-    def _shorter(self, k: int, ctx: int) -> int:
-        return self.node[k - 1, ctx & ((1 << 8 * (k - 1)) - 1)]
+    """Of arrays by language number, k (bytes of context), gram (context and byte, big-endian) and count."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, k: np.ndarray, gram: np.ndarray, count: np.ndarray, order: int):
+        self.langs, self.order = langs, order
+        self.grams, self.contexts, self.cost, self.escape = [], [], [], []
+        below_keys, below = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+        for level in range(order + 1 if langs else 0):
+            at = k == level
+            g, own = np.unique(gram[at].astype(np.uint64), return_inverse=True)
+            n = np.zeros((len(g), len(langs)))
+            np.add.at(n, (own, lang[at]), count[at])
+            ctx, of = np.unique(g >> np.uint64(8), return_inverse=True)
+            if level == 0:
+                lower = np.full(n.shape, 1 / 256)
+            else:  # the same byte after the shorter context was seen too
+                lower = below[np.searchsorted(below_keys, g & np.uint64((1 << 8 * level) - 1))]
+            total, kinds, seen = (np.zeros((len(ctx), len(langs))) for _ in range(3))
+            np.add.at(total, of, n)
+            np.add.at(kinds, of, n > 0)
+            np.add.at(seen, of, np.where(n > 0, lower, 0))
+            left = 1 - seen
+            left[left < 1e-12] = 0
+            kinds[left == 0] = 0
+            escape = np.ones(total.shape)
+            some = total > 0
+            escape[some] = (kinds / np.maximum(total + kinds, 1))[some] / np.where(left > 0, left, 1)[some]
+            p = np.where(n > 0, n / np.maximum(total + kinds, 1)[of], lower * escape[of])
+            self.grams.append(_Find(g))
+            self.contexts.append(_Find(ctx))
+            self.cost.append(-np.log2(np.maximum(p, 1e-300)).astype(np.float32))
+            self.escape.append(-np.log2(np.maximum(escape, 1e-12)).astype(np.float32))
+            below_keys, below = g, p
 
     def code_lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
         lo, hi = int(offsets[0]), int(offsets[-1])
-        n, out = len(offsets) - 1, np.zeros((len(offsets) - 1, len(self.langs)))
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
         if hi == lo:
             return out
-        s = self.symbol[buf[lo:hi]]
+        x = buf[lo:hi].astype(np.uint64)
         place = np.arange(hi - lo) - np.repeat(offsets[:-1] - lo, np.diff(offsets))
-        root = np.zeros(len(s), np.int32) + self.base[0][1]
-        best, number = root, np.ones(len(s), np.int32)
-        # number[p]: of the k bytes that end before byte p
-        for k in range(self.order):
-            grown = np.zeros(len(s), np.int32)
+        bits = np.zeros((hi - lo, len(self.langs)), np.float32)
+        code = x.copy()  # the byte and the `order` ones before it
+        for j in range(1, self.order + 1):
+            code[j:] |= x[: len(x) - j] << np.uint64(8 * j)
+        todo = np.arange(hi - lo)
+        for k in range(self.order, -1, -1):
+            able = np.flatnonzero(place[todo] >= k) if k else np.arange(len(todo))
+            own = code[todo[able]] & np.uint64((1 << 8 * (k + 1)) - 1)
+            at = self.grams[k](own)
+            found = at >= 0
+            bits[todo[able[found]]] += self.cost[k][at[found]]
+            miss = able[~found]
+            ctx = self.contexts[k](own[~found] >> np.uint64(8))
+            known = ctx >= 0
+            bits[todo[miss[known]]] += self.escape[k][ctx[known]]
             if k == 0:
-                grown[1:] = self.grown[0][1, s[:-1]]
+                bits[todo[miss]] += np.float32(8.0)  # evenly over all bytes
             else:
-                grown[1:] = self.grown[k][number[:-1], s[:-1]]
-            grown[place < k + 1] = 0
-            number = grown
-            best = np.where(number > 0, self.base[k + 1][number], best)
-        cost = self.bits[best * self.size + s]
+                rest = np.ones(len(todo), bool)
+                rest[able[found]] = False
+                todo = todo[rest]
         full = np.flatnonzero(np.diff(offsets) > 0)
-        out[full] = np.add.reduceat(cost, offsets[:-1][full] - lo, axis=0, dtype=np.float64)
+        out[full] = np.add.reduceat(bits, offsets[:-1][full] - lo, axis=0, dtype=np.float64)
         return out
 
     def predict_arrow(self, column: pa.Array) -> pa.StructArray:
@@ -147,7 +176,7 @@ class LanguageModel:
         buf, off = buffers(column)
         lang, score = np.full(len(column), "und", object), np.zeros(len(column))
         if self.langs:
-            for i, j in pieces(off, PIECE):
+            for i, j in pieces(off, max(1 << 14, 4 * PIECE // len(self.langs))):
                 bits = self.code_lengths(buf, off[i : j + 1])
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 900)).sum(axis=1)
@@ -167,24 +196,20 @@ class LanguageModel:
         return language(text.cast("string"))
 
 
-def fit(docs: DataFrame, order: int = 3, sample: int = 300, contexts: int = 20_000, languages: int = 32) -> LanguageModel:
-    """A model from at most `sample` rows of each of at most `languages` languages."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    # Of each language, rows of small enough hashes for about twice the sample: the window gets no more.
-    bound = F.lit(0)
-    for r in top:
-        bound = F.when(F.col("lang") == r.lang, min(1 << 20, ((2 * sample + 50) << 20) // r.n + 1)).otherwise(bound)
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    ids = known.select("doc_id", "lang").where(h < bound).withColumn("r", rank).where(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample * languages rows
-    grams = rows.select("lang", "text").mapInArrow(_count(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[tuple[str, int], dict[int, int]] = {}
-    most = contexts * 40
-    for r in grams.orderBy(F.desc("n"), "k", "gram", "lang").limit(most).toArrow().to_pylist():
-        counts.setdefault((r["lang"], r["k"]), {})[r["gram"]] = r["n"]
-    return LanguageModel(counts, order, contexts)
+def fit(docs: DataFrame, order: int = 3, sample: int = 300, most: int = 4000) -> LanguageModel:
+    """A model of all languages from at most `sample` rows of each, and `most` in all."""
+    known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # The limit of ranks leaves `sample` rows of a language in each task before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").withColumn("r", rank).where(F.col("r") <= sample)
+    ids = ids.orderBy("r", "lang").limit(most).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
+    rows = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
+    # An id with many rows counts as so many as its language still has.
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.md5(F.col("text").cast("binary"))))
+    rows = rows.withColumn("r", again).where(F.col("r") <= sample)
+    grams = rows.select("lang", "text").mapInArrow(_count(order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names, lang = np.unique(np.array(grams.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+    return LanguageModel(names.tolist(), lang, *(grams.column(c).to_numpy() for c in ("k", "gram", "n")), order)
 
 
 def identified(docs: DataFrame) -> DataFrame:
