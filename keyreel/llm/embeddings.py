@@ -15,8 +15,11 @@ to one vector of its component in the tiles, so its output is linear however den
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing: n_links 0, the component is the vector itself. Vectors of
 different lengths never link. Rows with a null vec_id have component null, kept null, and
-link with nothing. Repeated rows with one vec_id are one vector that does not link to itself;
-other rows count it once. Only vec_id, embedding and label are read.
+link with nothing. Rows with one vec_id are one node, which does not link to itself; other nodes count
+it once. If it has several vectors or labels, its links are those of all of them: such ids are
+rare, so for the classes that hold them each link is put out by itself and counted by id. (A row
+whose vector links with nothing stays alone, whatever other rows its id has.) Only vec_id,
+embedding and label are read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyreel.llm.common import connected_components, cut, cut_table, roots
+from keyreel.llm.common import connected_components, cut, cut_table, drop, join_counted, roots
 
 BLOCKS = (8, 16, 32)
 
@@ -117,8 +120,9 @@ def _compare(axes: dict[int, np.ndarray], least: float):
         cls, weight = pair.column("cls").to_numpy(), pair.column("weight").to_numpy()
         x = _vectors(pair.column("vec"))
         basis = axes.get(x.shape[1])
+        mixed = pair.column("mixed").to_numpy(zero_copy_only=False)
         links = np.zeros(len(cls), np.int64)
-        edges = []
+        edges, single = [], []
         step = 1024
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: one tile with itself
         alone = bool((side == 2).any())
@@ -135,12 +139,16 @@ def _compare(axes: dict[int, np.ndarray], least: float):
                     root = roots(len(cls), a, b)
                     edges.append(np.unique(np.stack([a, root[a]], 1), axis=0))
                     edges.append(np.unique(np.stack([b, root[b]], 1), axis=0))
+                    with_mixed = mixed[a] | mixed[b]
+                    single.append(np.stack([a[with_mixed], b[with_mixed]], 1))
         e = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+        one = np.concatenate(single) if single else np.zeros((0, 2), np.int64)
         some = np.flatnonzero(links)
+        # n 0: an edge for the components, -1: a link of a class with mixed ids, else a class's number of links
         return pa.table({
-            "a": pa.array(np.concatenate([cls[e[:, 0]], cls[some]]), pa.int64()),
-            "b": pa.array(np.concatenate([cls[e[:, 1]], cls[some]]), pa.int64()),
-            "n": pa.array(np.concatenate([np.zeros(len(e), np.int64), links[some]]), pa.int64()),
+            "a": pa.array(np.concatenate([cls[e[:, 0]], cls[one[:, 0]], cls[some]]), pa.int64()),
+            "b": pa.array(np.concatenate([cls[e[:, 1]], cls[one[:, 1]], cls[some]]), pa.int64()),
+            "n": pa.array(np.concatenate([np.zeros(len(e), np.int64), np.full(len(one), -1), links[some]]), pa.int64()),
         })
 
     return run
@@ -149,19 +157,29 @@ def _compare(axes: dict[int, np.ndarray], least: float):
 def near_duplicates(df: DataFrame, least: float = 0.98, tile: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = df.sparkSession
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    vec = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))  # no negative zeros
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), "label")
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     some = F.exists("vec", lambda v: v != 0)
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & some
-    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.array(F.xxhash64("vec", "label"), F.hash("vec").cast("long"))))
+    keys = F.xxhash64("vec", "label").alias("k1"), F.xxhash64(F.lit(1), "label", "vec").alias("k2")
+    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     good = rows.where("ok")
-    # One class for each vector of a label; its name is its least vec_id. A vec_id given with two
-    # vectors is a member of both classes.
-    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("cls"), F.countDistinct("vec_id").alias("weight"))
-    classes = cut_table(classes.withColumn("d", F.size("vec")))
+    # One class for each vector of a label.
+    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.countDistinct("vec_id").alias("ids"), F.count("*").alias("n"))
+    classes = cut_table(classes.select("*", F.size("vec").alias("d"), *keys, F.monotonically_increasing_id().alias("cls")))
+    named = good.select("vec_id", *keys)
+    mixed = cut_table(named.groupBy("vec_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y").select("vec_id"))
+    several = not mixed.isEmpty()
+    if several:  # the classes of ids with several
+        held = cut_table(named.join(mixed, "vec_id").distinct().join(classes.select("k1", "k2", "cls"), ["k1", "k2"]).select("vec_id", "cls"))
+        count = held.groupBy("cls").agg(F.count("*").alias("m"))
+        classes = classes.join(count, "cls", "left").withColumn("weight", F.col("ids") - F.coalesce("m", F.lit(0))).withColumn("mixed", F.col("m").isNotNull()).drop("m")
+    else:
+        classes = classes.withColumn("weight", F.col("ids")).withColumn("mixed", F.lit(False))
     axes = principal_axes(classes)
-    x1 = classes.select("cls", "d", "vec").mapInArrow(_first_coordinate(axes), "cls long, x1 double").distinct()
-    c = cut_table(classes.join(x1, "cls"))
+    x1 = classes.select("cls", "d", "vec").mapInArrow(_first_coordinate(axes), "cls long, x1 double")
+    c = cut_table(classes.select("cls", "label", "d", "vec", "weight", "mixed").join(x1, "cls"))
     # Bins of the first coordinate are strung to tiles of about `tile` rows; a fuller bin is split by hash.
     bins = c.withColumn("bin", F.floor((F.col("x1") + 1.0) * 1000).cast("int"))
     counts = bins.groupBy("label", "d", "bin").agg(F.count("*").alias("n"), F.min("x1").alias("lo"), F.max("x1").alias("hi"))
@@ -182,18 +200,40 @@ def near_duplicates(df: DataFrame, least: float = 0.98, tile: int = 2048) -> Dat
         pairs.where(~both).select("*", F.col("rt").alias("t"), F.col("rs").alias("s"), F.lit(1).alias("side"))
     )
     placed = bins.join(counts.select("label", "d", "bin", "t", "k"), ["label", "d", "bin"])
-    placed = placed.withColumn("s", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).select("label", "d", "t", "s", "cls", "weight", "vec")
+    placed = placed.withColumn("s", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int")).select("label", "d", "t", "s", "cls", "weight", "mixed", "vec")
     work = placed.join(sides, ["label", "d", "t", "s"])
     key = ["label", "d", "lt", "ls", "rt", "rs"]
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes
     out = cut(work.repartition(n_tasks, *key).groupBy(*key).applyInArrow(_compare(axes, least), "a long, b long, n long"))
-    comp = connected_components(out.where("n = 0").select("a", "b"))
-    links = out.where("n > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
-    found = classes.select("cls", "weight", "label", "vec").join(links, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    found = found.select(
-        F.array(F.xxhash64("vec", "label"), F.hash("vec").cast("long")).alias("key"),
-        (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "cls").alias("component"),
-    )
-    res = rows.select("vec_id", "key").join(found, "key", "left")
+    edges = out.where("n = 0").select("a", "b")
+    if several:
+        first = held.groupBy("vec_id").agg(F.min("cls").alias("b"))
+        edges = edges.unionByName(held.join(first, "vec_id").select(F.col("cls").alias("a"), "b"))
+    comp = connected_components(edges)
+    # A component's name is its least vec_id.
+    linked = cut_table(comp.join(classes.select("cls", "least"), comp.node == F.col("cls")).select("cls", "component", "least"))
+    name = linked.groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("n"))
+    name = join_counted(linked, name, "component", linked.count()).select("cls", "name")
+    links = out.where("n > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
+    found = classes.join(links, "cls", "left").join(name, "cls", "left")
+    n_links = F.col("weight") - 1 + F.coalesce("links", F.lit(0))
+    if several:
+        single = out.where("n = -1").select("a", "b")
+        near = single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(held.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+        near = cut_table(near.distinct())
+        others = held.select(F.col("vec_id").alias("other"), F.col("cls").alias("b"))
+        extra = near.join(others, "b").select("a", "other").distinct().groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("extra"))
+        found = found.join(extra, "cls", "left")
+        n_links = n_links + F.coalesce("extra", F.lit(0))
+        reach = cut_table(held.select("vec_id", F.col("cls").alias("a")).join(near, "a").select("vec_id", "b").distinct())
+        ids = reach.join(others, "b").where("vec_id <> other").select("vec_id", "other").distinct().groupBy("vec_id").agg(F.count("*").alias("m"))
+        own = reach.join(classes.select(F.col("cls").alias("b"), "weight"), "b").groupBy("vec_id").agg(F.sum("weight").alias("w"))
+        of_mixed = cut_table(own.join(ids, "vec_id", "left").select("vec_id", (F.col("w") + F.coalesce("m", F.lit(0))).alias("of_id")))
+    found = cut_table(found.select("k1", "k2", "n", n_links.cast("long").alias("n_links"), F.coalesce("name", "least").alias("component")))
+    drop(linked, comp)
+    res = rows.select("vec_id", *[F.when(F.col("ok"), k).alias(k_) for k, k_ in zip(keys, ("k1", "k2"))])
+    res = join_counted(res, found, ["k1", "k2"], rows.count(), how="left")
+    if several:
+        res = res.join(of_mixed, "vec_id", "left").withColumn("n_links", F.when(F.col("n_links").isNotNull(), F.coalesce("of_id", "n_links")))
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return res.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

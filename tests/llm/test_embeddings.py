@@ -63,3 +63,15 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     df = spark.createDataFrame([(1, None, None, 3)], "vec_id long, embedding array<float>, label int, n_links int")
     assert [tuple(r) for r in near_duplicates(df).collect()] == [(1, 0, 1, True)]
+
+
+def test_one_id_with_several_vectors(spark):
+    near = lambda x: [1.0, x, 0.0, 0.0]
+    rows = [(5, near(0.0), 1), (5, near(0.01), 1), (7, near(0.02), 1), (9, [0.0, 0.0, 1.0, 0.0], 1)]
+    check(spark, rows)
+    # An id joins what its vectors join, also under two labels; copies of it count once.
+    rows += [(5, [0.0, 0.0, 1.0, 0.001], 2), (11, [0.0, 0.0, 1.0, 0.002], 2), (3, [0.0, 0.0, 1.0, 0.0], 2), (11, near(0.03), 1), (7, near(0.02), 1), (20, near(0.02), 3)]
+    check(spark, rows)
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    check(spark, [(rng.randrange(60), [x + rng.gauss(0, 0.03) for x in rng.choice(base)], rng.randrange(2)) for _ in range(150)])
