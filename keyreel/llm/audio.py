@@ -190,26 +190,39 @@ def with_audio(df: DataFrame, payload: str = "text") -> DataFrame:
     return df.withColumn("__a", a).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("media", "segments", "mel")], "__a.media", "__a.segments", "__a.mel")
 
 
+def tensors_of(mel: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (n, 2) and tensors (n, *SHAPE) of a stream of tensor_bytes()."""
+    t = pa.ipc.open_stream(mel).read_all().combine_chunks()
+    spans = np.stack([t.column("start_ms").to_numpy(), t.column("end_ms").to_numpy()], 1)
+    column = t.column("mel")
+    if not len(column):
+        return spans, np.zeros((0, *SHAPE), np.int16)
+    return spans, column.chunk(0).to_numpy_ndarray()
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and, of the stored media: sizes, digests and a digest of the features."""
+    """doc_id and, of the media and tensors that with_audio() stores: sizes, digests and a digest of the features."""
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments", "n_windows")
     kinds = ("long", "long", "string", "long", "long", "string", "string", "long", "long")
 
     @F.arrow_udf(", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
-    def digest(column: pa.Array) -> pa.Array:
-        buf, off = buffers(column)
+    def digest(size: pa.Array, media: pa.Array, segments: pa.Array, mel: pa.Array) -> pa.Array:
         cols: list[list] = [[] for _ in names]
-        for i in range(len(off) - 1):
-            text = buf[off[i] : off[i + 1]].tobytes()
-            media = to_wav(pad(text))
-            payload, _ = from_wav(media)
-            seg, spans, tensors = analyse(np.frombuffer(payload, np.uint8))
-            sha = hashlib.sha256(np.ascontiguousarray(tensors).tobytes() + spans.tobytes() + seg.tobytes()).hexdigest()
-            row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(),
+        at = segments.offsets.to_numpy()
+        flat = np.stack([segments.values.field(i).to_numpy() for i in (0, 1)], 1) if len(segments.values) else np.zeros((0, 2), np.int64)
+        for i, n in enumerate(size.to_pylist()):
+            stored = media[i].as_py()
+            payload, _ = from_wav(stored)
+            spans, tensors = tensors_of(mel[i].as_py())
+            seg = np.ascontiguousarray(flat[at[i] : at[i + 1]])
+            sha = hashlib.sha256(np.ascontiguousarray(tensors).tobytes() + np.ascontiguousarray(spans).tobytes() + seg.tobytes()).hexdigest()
+            row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(),
                    f"logmel-{SHAPE[0]}x{SHAPE[1]}:{len(seg)}:{len(spans)}:{sha}", len(seg), len(spans))
             for c, v in zip(cols, row):
                 c.append(v)
         types = {"long": pa.int64(), "string": pa.string()}
         return pa.StructArray.from_arrays([pa.array(c, types[k]) for c, k in zip(cols, kinds)], list(names))
 
-    return docs.select("doc_id", digest(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
+    stored = with_audio(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return stored.select("doc_id", digest(size, "media", "segments", "mel").alias("m")).select("doc_id", "m.*")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -85,3 +86,45 @@ def test_digests(spark):
     kept = A.with_audio(df).collect()
     assert all(A.from_wav(bytes(r.media))[0] == A.pad((r.text or "").encode()) for r in kept)
     assert A.digests(df.limit(0)).count() == 0
+
+
+def test_log_mel_against_plain_version():
+    """Frame by frame with a plain Fourier sum and triangles built filter by filter."""
+    rng = np.random.default_rng(8)
+    s = np.concatenate([rng.integers(100, 156, 700, dtype=np.uint8), (128 + 90 * np.sin(np.arange(900) * 0.4)).astype(np.uint8)])
+    total = -(-len(s) * A.UP // A.DOWN)
+    y = A.resample(s, 0, total + A.FRAME)
+    rate = A.RATE * A.UP / A.DOWN
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    low, high = mel(50.0), mel(rate / 2)
+    edges = [hz(low + i * (high - low) / (A.MELS + 1)) for i in range(A.MELS + 2)]
+    got, energy = A.log_mel(s)
+    frames = max(1, -(-(total - A.FRAME) // A.HOP) + 1)
+    assert got.shape == (frames, A.MELS)
+    n = np.arange(A.FRAME)
+    for f in range(frames):
+        w = y[f * A.HOP : f * A.HOP + A.FRAME] * (0.5 - 0.5 * np.cos(2 * math.pi * n / A.FRAME))
+        power = [abs(np.sum(w * np.exp(-2j * math.pi * k * n / A.FRAME))) ** 2 for k in range(A.FRAME // 2 + 1)]
+        for m in range(A.MELS):
+            a, b, c = edges[m : m + 3]
+            e = 0.0
+            for k, p in enumerate(power):
+                x = k * rate / A.FRAME
+                e += p * ((x - a) / (b - a) if a <= x <= b else (c - x) / (c - b) if b < x <= c else 0.0)
+            assert abs(got[f, m] - math.log2(e + 1e-6)) < 1e-3
+        assert abs(energy[f] - math.log2(np.mean(w * w) + 1e-9)) < 1e-6
+
+
+def test_query_hashes_what_is_stored(spark):
+    docs = spark.createDataFrame([(1, "hello world " * 400, 7), (2, None, 7), (3, "é" * 50, 7), (3, "é" * 50, 7)], "doc_id long, text string, media int")
+    stored = {r.doc_id: r for r in A.with_audio(docs).collect()}
+    for r in A.digests(docs).collect():
+        t = stored[r.doc_id]
+        spans, tensors = A.tensors_of(bytes(t.mel))
+        seg, want_spans, want = A.analyse(np.frombuffer(A.from_wav(bytes(t.media))[0], np.uint8))
+        assert (tensors == want).all() and tensors.shape == want.shape and (spans == want_spans).all()
+        assert [(x.start_ms, x.end_ms) for x in t.segments] == [tuple(x) for x in seg.tolist()]
+        sha = hashlib.sha256(want.tobytes() + want_spans.tobytes() + seg.tobytes()).hexdigest()
+        assert r.feature == f"logmel-32x20:{len(seg)}:{len(spans)}:{sha}" and r.n_windows == len(spans)
+        assert r.media_sha256 == hashlib.sha256(bytes(t.media)).hexdigest()
