@@ -1,6 +1,7 @@
 """Packing: optimal length buckets and token-budget batches.
 
-A text's length is its words plus one end mark. One global histogram of lengths, counted
+A text's length is its words plus one end mark; lengths are counted in one pass over the texts and kept
+as a table of the ids and lengths. One global histogram of lengths, counted
 before the shuffle, goes to the driver: a row for each distinct length, of which there are
 at most about the square root of twice all tokens. A dynamic program chooses at most `buckets` boundaries with the least padding in total
 (lower hull of lines, in O(lengths * buckets)). Every text is padded to its bucket's
@@ -20,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyreel.llm.common import cut_table
 from keyreel.llm.mixing import words
 
-STRATA = 1024
+#: Hash strata at least; there are more of them for more rows, PER_STRATUM in each on average.
+STRATA, PER_STRATUM = 1024, 100_000
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -85,14 +88,14 @@ def histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
 
 def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """doc_id, n_tokens, bucket_len (padded length), padding, batch (within the bucket), slot."""
-    d = docs.select("doc_id", (words(F.col("text")) + 1).alias("n"))
+    d = cut_table(docs.select("doc_id", (words(F.col("text")) + 1).alias("n")))
     lengths, counts = histogram(d.select("n"))
     ends = boundaries(lengths, counts, buckets) or [1]
     size = F.lit(ends[-1])
     for e in reversed(ends[:-1]):
         size = F.when(F.col("n") <= e, F.lit(e)).otherwise(size)
     d = d.withColumn("bucket_len", size.cast("long")).withColumn("h", F.xxhash64("doc_id", "n"))
-    d = d.withColumn("s", F.pmod("h", F.lit(STRATA)).cast("int"))
+    d = d.withColumn("s", F.pmod("h", F.lit(max(STRATA, sum(counts) // PER_STRATUM))).cast("int"))
     strata = d.groupBy("bucket_len", "s").agg(F.count("*").alias("c"))
     before = Window.partitionBy("bucket_len").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     strata = strata.select("bucket_len", "s", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
