@@ -86,7 +86,8 @@ def test_parts_of_long_rows():
     try:
         found = np.zeros(5000 - R.LENGTH + 1, np.uint64)
         for _, before, cut in R._cuts(np.array([0, 5000])):
-            h, row, start, n, _ = R._token_runs(data, cut)
+            h, row, start, n, _, place = R._token_runs(data, cut)
+            assert all((R.mix(R.prefix_hash(data[a + p : a + p + R.GRAM], R.BYTE_VALUES)[-1:]) == x).all() for a, p, x in zip(start.tolist(), place.tolist(), h.astype(np.uint64)))
             for a, m, x in zip(start.tolist(), n.tolist(), h.tolist()):
                 found[a : a + m] = x
     finally:
@@ -102,3 +103,49 @@ def test_kept_and_empty(spark):
     got = {r.doc_id: r for r in R.kept_bytes(df).collect()}
     assert bytes(got[1].kept) == b"end" and bytes(got[2].kept) == b"short"
     assert R.removed(df.limit(0)).count() == 0
+
+
+def test_tokens_across_bucket_boundaries(spark):
+    """One passage in many texts, with as many buckets as it has copies: its suffixes lie in several of them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(30)) + passage[i % 5 :] + " ".join(word() for _ in range(30 + i))) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        check(spark, rows)
+        check(spark, rows, hot=10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_buckets_in_chunks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        h = rng.integers(0, 900, 2).astype(np.uint64) // np.uint64(30)
+        rows.append((h.tobytes(), i))
+    rows.sort()
+    t = pa.table({"key": [i for _, i in rows], "at": [0] * 4000, "n": [-1] * 4000, "place": [0] * 4000, "many": [False] * 4000, "data": pa.array([h for h, _ in rows], pa.binary())})
+    t = t.cast(pa.schema([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("many", pa.bool_()), ("data", pa.binary())]))
+    count = {}
+    for h, _ in rows:
+        count[h] = count.get(h, 0) + 1
+    want = {i for h, i in rows if count[h] > 1}
+    for size in (7, 1000, 4000):
+        out = pa.Table.from_batches(list(R._bucket(True)(iter(t.to_batches(max_chunksize=size)))))
+        assert set(out.column("key").to_pylist()) == want
+
+
+def test_names_that_two_texts_share_are_replaced(spark, monkeypatch):
+    """With one name for all texts, they are told apart by the other half of the hash."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(R.F, "xxhash64", lambda *c: F.lit(5).cast("long") if isinstance(c[0], str) and c[0] == "text" else real(*c))
+    rows = [(i, chr(97 + i % 7) * 5 + "x" * (200 + i % 7)) for i in range(20)] + [(50, "".join(chr(97 + i * i % 26) for i in range(900)))]
+    check(spark, rows)
