@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyreel.llm import mixing, ngram_join, packing, pii, quality
-from keyreel.llm.common import cut_table, table
+from keyreel.llm.common import cut_table, drop, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id; one row of an id.
-
-    Rows without an id are in no group and stay."""
+    """Of each group of near-duplicates the document of the smallest id; of several rows with that id the
+    first by digest of the text, then by the other columns. Rows without an id are in no group and stay."""
     groups = cut_table(ngram_join.near_duplicates(docs))
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    rows = groups.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if rows[0] != rows[1]:
-        kept = kept.dropDuplicates(["doc_id"])
+    kept = docs.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), F.col("doc_id") == F.col("__keep"), "left_semi")
+    several = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not several.isEmpty():
+        rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"]
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")), *rest))
+        kept = kept.withColumn("__first", first).where("__first = 1").drop("__first")
     return kept.unionByName(docs.where("doc_id is null"))
 
 
@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_table(stage(spark, docs, sf_dir))
+        before, docs = docs, cut_table(stage(spark, docs, sf_dir))
+        drop(before)  # its table, if it is one of these
     return STAGES[-1][1](spark, docs, sf_dir)
