@@ -31,12 +31,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             ((F.col("event_id") * 7919 % 97) / 96.0).alias("sharpness"), (k / 100.0).alias("exposure"),
             F.when(F.col("event_id") % 7 == 0, (F.col("event_id") - 1).cast("string")).alias("duplicate_of_id"),
         ).alias("metrics"),
-        F.array(F.struct(cls.alias("class_id"), F.lit(0.9).alias("confidence"))).alias("detections"),
+        F.array(F.struct(cls.alias("class_id"), F.lit(0.9).alias("confidence"))).alias("detections"), "value",
     )
 
 
 def flat(frames: DataFrame) -> DataFrame:
-    return frames.select("source_id", "id", "index", "time_ms", "metrics.*")
+    return frames.select("source_id", "id", "index", "time_ms", "metrics.*", "value")
 
 
 def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,3 +54,9 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("label").alias("source_id"), F.col("vec_id").alias("id"), (F.row_number().over(w) - 1).cast("int").alias("index"), level.alias("grid"))
 
 
+def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as grey pictures of 8 x 8 pixels, two a second, in the shape of decoded frames."""
+    g = grids(spark, sf_dir)
+    hexed = F.transform("grid", lambda x: F.repeat(F.lpad(F.hex(F.floor(x * 255 + 0.5).cast("long")), 2, "0"), 3))
+    side = lambda n, name: F.lit(n).alias(name)
+    return g.select("source_id", "id", "index", (F.col("index") * 500).cast("long").alias("time_ms"), side(8, "width"), side(8, "height"), side(3, "channels"), F.unhex(F.array_join(hexed, "")).alias("data"))

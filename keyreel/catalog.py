@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyreel import adapters as A
 from keyreel.functions import media, naming
 from keyreel.functions import taxonomy as T
-from keyreel.functions.pixels import color_distance
+from keyreel.functions.pixels import color_distance, frame_difference, hamming, with_features
 from keyreel.operators import duplicates, scenes, scoring, vision
 from keyreel.operators import select as S
 from keyreel.plans import sampling
@@ -129,8 +129,7 @@ _DIFF = f"{FRAMES}, vals AS (SELECT f.*, e.value AS value_ FROM frames f JOIN ev
 
 
 def _with_diff(spark, sf):
-    f = A.flat(A.event_frames(spark, sf)).join(A.table(spark, sf, "events").select(F.col("event_id").alias("id"), "value"), "id")
-    return scenes.with_difference(f, F.abs(F.col("value") - F.lag("value").over(scenes.in_order())) / 500.0)
+    return scenes.with_difference(A.flat(A.event_frames(spark, sf)), F.abs(F.col("value") - F.lag("value").over(scenes.in_order())) / 500.0)
 
 
 @query("frame_difference_lag", f"WITH {_DIFF} SELECT source_id, id, round(d, 6) AS difference FROM diffs")
@@ -153,7 +152,7 @@ _BOUND = _BOUND.format(base=f"{FRAMES}, vals AS (SELECT f.*, e.value AS value_ F
 
 
 def _scened(spark, sf):
-    f = A.flat(A.event_frames(spark, sf)).drop("scene_index").join(A.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("value").alias("difference")), "id")
+    f = A.flat(A.event_frames(spark, sf)).drop("scene_index").withColumnRenamed("value", "difference")
     return f, scenes.boundaries(f, F.lit(80.0), 86_400_000)
 
 
@@ -183,39 +182,43 @@ def scene_keyframe(spark, sf):
     return scoring.scene_keyframes(A.flat(A.event_frames(spark, sf))).select("source_id", "scene_index", "id")
 
 
-# Hashes, duplicates, pixel measures on 8 x 8 grids
+# Pixel measures, hashes and duplicates of 8 x 8 pictures
 
-_BITS = "list_sum([CASE WHEN grid[y * 8 + x + 1] > grid[y * 8 + x + 2] THEN 1::BIGINT << (y * 7 + x) ELSE 0 END for x in range(0, 7) for y in [{y}]])"
-_HASH = f"{GRIDS}, hashed AS (SELECT *, CAST(list_sum(list_transform(range(0, 56), lambda i: CASE WHEN grid[(i // 7) * 8 + i % 7 + 1] > grid[(i // 7) * 8 + i % 7 + 2] THEN 1::BIGINT << CAST(i AS INTEGER) ELSE 0::BIGINT END)) AS BIGINT) AS hash FROM grids)"
+_PIXELS = f"""{GRIDS}, px AS (SELECT source_id, id, "index", list_transform(grid, lambda x: CAST(floor(x * 255 + 0.5) AS INTEGER)) AS p FROM grids),
+  lum AS (SELECT *, list_transform(p, lambda v: CAST(CAST((0.2126::DOUBLE * v + 0.7152::DOUBLE * v + 0.0722::DOUBLE * v) / 255 AS FLOAT) AS DOUBLE)) AS l FROM px)"""
+# Bits: 9 x 8 samples against their right neighbours, then 8 x 9 against those below; words of 32, lowest bit first.
+_BIT_A = "p[(i // 8) * 8 + CAST(floor((i % 8 + 0.5) * 8 / 9) AS INTEGER) + 1] > p[(i // 8) * 8 + CAST(floor((i % 8 + 1.5) * 8 / 9) AS INTEGER) + 1]"
+_BIT_B = "p[CAST(floor((i // 8 + 0.5) * 8 / 9) AS INTEGER) * 8 + i % 8 + 1] > p[CAST(floor((i // 8 + 1.5) * 8 / 9) AS INTEGER) * 8 + i % 8 + 1]"
+_WORD = "CAST(list_sum(list_transform(range({a}, {b}), lambda i: CASE WHEN {bit} THEN 1::BIGINT << CAST(i - {a} AS INTEGER) ELSE 0::BIGINT END)) AS BIGINT)"
+_HASH = f"{_PIXELS}, hashed AS (SELECT *, [{', '.join(_WORD.format(a=a, b=a + 32, bit=bit) for bit in (_BIT_A, _BIT_B) for a in (0, 32))}] AS hash FROM lum)"
 
 
-def _hashed(spark, sf):
-    bit = lambda i: F.when(F.get("grid", (F.floor(i / 7) * 8 + i % 7).cast("int")) > F.get("grid", (F.floor(i / 7) * 8 + i % 7 + 1).cast("int")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    h = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(55)), bit), F.lit(0).cast("long"), lambda s, x: s + x)
-    return A.grids(spark, sf).withColumn("hash", h)
+def _features(spark, sf):
+    return with_features(A.grid_pixels(spark, sf))
 
 
-@query("dhash_bits", f"WITH {_HASH} SELECT id, hash, CAST(bit_count(hash) AS INTEGER) AS bits FROM hashed")
+@query("dhash_bits", f"WITH {_HASH} SELECT id, array_to_string(hash, ',') AS hash, CAST(list_sum(list_transform(hash, lambda x: bit_count(x))) AS INTEGER) AS bits FROM hashed")
 def dhash_bits(spark, sf):
-    return _hashed(spark, sf).select("id", "hash", F.bit_count("hash").alias("bits"))
+    none = F.array_repeat(F.lit(0).cast("long"), 4)
+    return _features(spark, sf).select("id", F.array_join(F.transform("hash", lambda x: x.cast("string")), ",").alias("hash"), hamming(F.col("hash"), none).cast("int").alias("bits"))
 
 
-_PAIRS = f"{_HASH}, pairs AS (SELECT b.source_id, b.id, a.id AS other, a.\"index\" AS i, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS d FROM hashed b LEFT JOIN hashed a ON a.source_id = b.source_id AND a.\"index\" < b.\"index\")"
-
-
-def _near(spark, sf):
-    d = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash")))
-    return duplicates.nearest_earlier(_hashed(spark, sf).select("source_id", "id", "index", "hash"), d, d <= 18)
+_BITS = "CAST(bit_count(xor(a.hash[1], b.hash[1])) + bit_count(xor(a.hash[2], b.hash[2])) + bit_count(xor(a.hash[3], b.hash[3])) + bit_count(xor(a.hash[4], b.hash[4])) AS INTEGER)"
+_PAIRS = f"""{_HASH}, pairs AS (SELECT b.source_id, b.id, a.id AS other, a."index" AS i, {_BITS} AS d, abs(list_avg(a.p) - list_avg(b.p)) / 255 AS color
+  FROM hashed b LEFT JOIN hashed a ON a.source_id = b.source_id AND a."index" < b."index")"""
 
 
 @query("hamming_nearest_prev", f"WITH {_PAIRS} SELECT id, coalesce(min(d), 128) AS min_distance FROM pairs GROUP BY id")
 def hamming_nearest_prev(spark, sf):
-    return _near(spark, sf).select("id", "min_distance")
+    return duplicates.find_duplicates(_features(spark, sf)).select("id", F.col("min_distance").cast("int").alias("min_distance"))
 
 
-@query("duplicate_of", f"WITH {_PAIRS} SELECT id, arg_min(other, i) FILTER (d <= 18) AS duplicate_of_id FROM pairs GROUP BY id")
+@query("duplicate_of", f"WITH {_PAIRS} SELECT id, arg_min(other, i) FILTER (d <= 40 AND color <= 0.1) AS duplicate_of_id FROM pairs GROUP BY id")
 def duplicate_of(spark, sf):
-    return _near(spark, sf).select("id", "duplicate_of_id")
+    """With wider limits than usual, as these pictures hold no near copies."""
+    bits, color = hamming(F.col("a.hash"), F.col("b.hash")), color_distance(F.col("a.mean_rgb"), F.col("b.mean_rgb"))
+    f = _features(spark, sf).select("source_id", "id", "index", "hash", "mean_rgb")
+    return duplicates.nearest_earlier(f, bits, duplicates.is_duplicate(bits, color, 40, 0.1)).select("id", "duplicate_of_id")
 
 
 @query("color_distance_prev", f"""WITH {GRIDS}, p AS (SELECT id, grid[1:3] AS c, lag(grid[1:3]) OVER (PARTITION BY source_id ORDER BY "index") AS o FROM grids)
@@ -226,27 +229,67 @@ def color_distance_prev(spark, sf):
     return g.select("id", r6(color_distance(F.col("c"), F.col("o")), "distance"))
 
 
-@query("exposure_score", f"""WITH {GRIDS}, m AS (SELECT id, list_avg(grid) AS mean, len(list_filter(grid, lambda x: x <= 0.025 OR x >= 0.975)) / 64.0::DOUBLE AS clip FROM grids)
-  SELECT id, round(mean, 6) AS mean, round(clip, 6) AS clipped, round(least(1, greatest(0, 0.65 * greatest(0, 1 - abs(mean - 0.5) / 0.5) + 0.35 * greatest(0, 1 - 2.5 * clip))), 6) AS score FROM m""")
+_EXPOSURE = """SELECT *, list_avg(l) AS mean, len(list_filter(l, lambda x: x <= 0.025 OR x >= 0.975)) / 64.0::DOUBLE AS clip FROM {t}"""
+_SCORE = "least(1, greatest(0, 0.65::DOUBLE * greatest(0, 1 - abs(mean - 0.5) / 0.5) + 0.35::DOUBLE * greatest(0, 1 - 2.5::DOUBLE * clip)))"
+
+
+@query("exposure_score", f"WITH {_PIXELS}, m AS ({_EXPOSURE.format(t='lum')}) SELECT id, round(mean + 1e-9, 6) AS mean, round(clip, 6) AS clipped, round({_SCORE} + 1e-9, 6) AS score FROM m")
 def exposure_score(spark, sf):
-    g = A.grids(spark, sf)
-    mean = F.aggregate("grid", F.lit(0.0), lambda s, x: s + x) / F.size("grid")
-    clip = F.size(F.filter("grid", lambda x: (x <= 0.025) | (x >= 0.975))) / F.size("grid")
-    g = g.withColumn("mean", mean).withColumn("clip", clip)
-    score = F.greatest(F.lit(0.0), 1 - F.abs(F.col("mean") - 0.5) / 0.5) * 0.65 + F.greatest(F.lit(0.0), 1 - F.col("clip") * 2.5) * 0.35
-    return g.select("id", r6(F.col("mean"), "mean"), r6(F.col("clip"), "clipped"), r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), "score"))
+    f = _features(spark, sf)
+    return f.select("id", r6(F.col("exposure_mean") + 1e-9, "mean"), r6(F.col("exposure_clipped_ratio"), "clipped"), r6(F.col("exposure") + 1e-9, "score"))
+
 
+_LAPLACE = """SELECT *, list_transform(range(0, 36), lambda i: l[(i // 6) * 8 + i % 6 + 2] + l[(i // 6 + 2) * 8 + i % 6 + 2] + l[(i // 6 + 1) * 8 + i % 6 + 1]
+  + l[(i // 6 + 1) * 8 + i % 6 + 3] - 4 * l[(i // 6 + 1) * 8 + i % 6 + 2]) AS v FROM {t}"""
+_VARIANCE = "greatest(0, list_avg(list_transform(v, lambda x: x * x)) - list_avg(v) ** 2)"
+_SHARPNESS = "least(1, greatest(0, ln(1 + 2000 * variance) / ln(81::DOUBLE)))"
 
-@query("laplacian_variance", f"""WITH {GRIDS}, l AS (SELECT id, list_transform(range(0, 36), lambda i: grid[(i // 6) * 8 + i % 6 + 2] + grid[(i // 6 + 2) * 8 + i % 6 + 2] + grid[(i // 6 + 1) * 8 + i % 6 + 1]
-  + grid[(i // 6 + 1) * 8 + i % 6 + 3] - 4 * grid[(i // 6 + 1) * 8 + i % 6 + 2]) AS v FROM grids)
-  SELECT id, round(greatest(0, list_avg(list_transform(v, lambda x: x * x)) - list_avg(v) ** 2), 6) AS variance FROM l""")
+
+@query("laplacian_variance", f"WITH {_PIXELS}, lap AS ({_LAPLACE.format(t='lum')}), s AS (SELECT *, {_VARIANCE} AS variance FROM lap) SELECT id, round(variance + 1e-9, 6) AS variance, round({_SHARPNESS} + 1e-9, 6) AS sharpness FROM s")
 def laplacian_variance(spark, sf):
-    at = lambda i, dy, dx: F.get("grid", ((F.floor(i / 6) + dy) * 8 + i % 6 + dx).cast("int"))
-    lap = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: at(i, 0, 1) + at(i, 2, 1) + at(i, 1, 0) + at(i, 1, 2) - at(i, 1, 1) * 4)
-    g = A.grids(spark, sf).withColumn("v", lap)
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x)) / 36
-    mean = total(lambda x: x)
-    return g.select("id", r6(F.greatest(F.lit(0.0), total(lambda x: x * x) - mean * mean), "variance"))
+    return _features(spark, sf).select("id", r6(F.col("blur_variance") + 1e-9, "variance"), r6(F.col("sharpness") + 1e-9, "sharpness"))
+
+
+# 32 x 18 samples: four to a column, and each row of the picture two or three times.
+_SAMPLES = "list_avg(list_transform(range(0, 576), lambda i: abs({a}[CAST(floor((i // 32 + 0.5) * 8 / 18) AS INTEGER) * 8 + (i % 32) // 4 + 1] - {b}[CAST(floor((i // 32 + 0.5) * 8 / 18) AS INTEGER) * 8 + (i % 32) // 4 + 1])))"
+_PIXEL_DIFF = f"least(1, {_SAMPLES.format(a='l', b='l0')} * 0.72::DOUBLE + abs(list_avg(p) - list_avg(p0)) / 255 * 0.28::DOUBLE)"
+
+
+@query("pixel_difference", f"""WITH {_PIXELS}, b AS (SELECT *, lag(l) OVER w AS l0, lag(p) OVER w AS p0 FROM lum WINDOW w AS (PARTITION BY source_id ORDER BY "index"))
+  SELECT id, round(CASE WHEN l0 IS NULL THEN 0 ELSE {_PIXEL_DIFF} END + 1e-9, 6) AS difference FROM b""")
+def pixel_difference(spark, sf):
+    w = scenes.in_order()
+    d = frame_difference(F.col("luma"), F.lag("luma").over(w), F.col("mean_rgb"), F.lag("mean_rgb").over(w))
+    return scenes.with_difference(_features(spark, sf), d).select("id", r6(F.col("difference") + 1e-9, "difference"))
+
+
+_ANALYSIS = f"""RECURSIVE {_HASH}, lap AS ({_LAPLACE.format(t='hashed')}), s0 AS (SELECT *, {_VARIANCE} AS variance FROM lap), s1 AS ({_EXPOSURE.format(t='s0')}),
+  frames AS (SELECT *, "index" * 500 AS time_ms, {_SHARPNESS} AS sharpness, {_SCORE} AS exposure, lag(l) OVER w AS l0, lag(p) OVER w AS p0 FROM s1 WINDOW w AS (PARTITION BY source_id ORDER BY "index")),
+  diffs AS (SELECT *, CASE WHEN l0 IS NULL THEN 0 ELSE {_PIXEL_DIFF} END AS d FROM frames),
+  st AS (SELECT source_id, count(*) FILTER (d > 0) AS n, list_sort(list(d) FILTER (d > 0)) AS ds, stddev_pop(d) FILTER (d > 0) AS sd FROM diffs GROUP BY 1),
+  th AS (SELECT source_id, CASE WHEN n < 3 THEN 0.113::DOUBLE ELSE greatest(0.113::DOUBLE * 0.35, least(0.113::DOUBLE * 2.5, ds[n // 2 + 1] + greatest(0.04::DOUBLE, 1.5 * sd))) END AS t FROM st),
+  hits AS (SELECT source_id, "index", time_ms, row_number() OVER (PARTITION BY source_id ORDER BY "index") AS r FROM diffs JOIN th USING (source_id) WHERE d >= t AND "index" > 0),
+  walk AS (SELECT source_id, 0::BIGINT AS r, 0::INTEGER AS "index", 0::BIGINT AS last, false AS hit FROM st
+    UNION ALL SELECT h.source_id, h.r, h."index", CASE WHEN h.time_ms - w.last >= 650 THEN h.time_ms ELSE w.last END, h.time_ms - w.last >= 650 FROM walk w JOIN hits h ON h.source_id = w.source_id AND h.r = w.r + 1),
+  sc AS (SELECT f.*, CAST(count(w.hit) OVER (PARTITION BY f.source_id ORDER BY f."index" ROWS UNBOUNDED PRECEDING) AS INTEGER) AS scene FROM diffs f LEFT JOIN walk w ON w.source_id = f.source_id AND w."index" = f."index" AND w.hit),
+  pos AS (SELECT *, CASE WHEN count(*) OVER w = 1 THEN 0.5::DOUBLE ELSE (row_number() OVER (w ORDER BY "index") - 1) / (count(*) OVER w - 1)::DOUBLE END AS rel FROM sc WINDOW w AS (PARTITION BY source_id, scene)),
+  pairs AS (SELECT b.id, min({_BITS}) AS nearest, arg_min(a.id, a."index") FILTER ({_BITS} <= 4 AND abs(list_avg(a.p) - list_avg(b.p)) / 255 <= 0.035) AS dup
+    FROM hashed b LEFT JOIN hashed a ON a.source_id = b.source_id AND a."index" < b."index" GROUP BY 1),
+  u AS (SELECT pos.*, dup, CASE WHEN dup IS NOT NULL THEN 0 ELSE least(1, greatest(0, coalesce(nearest, 128) / 24.0::DOUBLE)) END AS uniqueness, greatest(0, 1 - abs(rel - 0.5) * 1.25::DOUBLE) AS position FROM pos JOIN pairs USING (id)),
+  c AS (SELECT *, sharpness * 0.45::DOUBLE + exposure * 0.25::DOUBLE + uniqueness * 0.2::DOUBLE + position * 0.1::DOUBLE AS composite FROM u),
+  pool AS (SELECT *, avg(composite) OVER w + greatest(0.04::DOUBLE, stddev_pop(composite) OVER w * 0.5) AS t FROM c WHERE dup IS NULL WINDOW w AS (PARTITION BY source_id)),
+  front AS (SELECT id, source_id, composite >= t AS ok FROM pool a WHERE NOT EXISTS (SELECT 1 FROM pool b WHERE b.source_id = a.source_id AND b.composite >= a.composite AND b.sharpness >= a.sharpness AND (b.composite > a.composite OR b.sharpness > a.sharpness))),
+  best AS (SELECT id FROM (SELECT *, bool_or(ok) OVER (PARTITION BY source_id) AS anyok FROM front) WHERE ok OR NOT anyok)"""
+
+
+@query("analyze_scan", f"""WITH {_ANALYSIS} SELECT source_id, c.id, scene AS scene_index, round(d + 1e-9, 6) AS scene_difference, round(uniqueness, 6) AS uniqueness, round(position + 1e-9, 6) AS scene_position,
+  round(composite + 1e-9, 6) AS composite, CAST(dup AS VARCHAR) AS duplicate_of_id, best.id IS NOT NULL AS recommended FROM c LEFT JOIN best ON best.id = c.id""")
+def analyze_scan(spark, sf):
+    from keyreel.plans.pipeline import analyze
+
+    m = lambda n: r6(F.col(f"metrics.{n}") + 1e-9, n)
+    a = analyze(A.grid_pixels(spark, sf))
+    return a.select("source_id", "id", "metrics.scene_index", m("scene_difference"), r6(F.col("metrics.uniqueness"), "uniqueness"), m("scene_position"), m("composite"), F.col("metrics.duplicate_of_id").cast("string").alias("duplicate_of_id"), "recommended")
 
 
 # Scores and fronts
@@ -299,12 +342,13 @@ def detect_summary(spark, sf):
     return vision.detect_summary(A.order_frames(spark, sf), ["animals", "car"])
 
 
-@query("metrics_left_join", f"""WITH {FRAMES} SELECT f.source_id, f.id, m.sharpness IS NOT NULL AS analysed, round(m.sharpness, 6) AS sharpness FROM frames f LEFT JOIN (SELECT * FROM frames WHERE id % 3 <> 0) m ON m.source_id = f.source_id AND m.id = f.id""")
+@query("metrics_left_join", f"""WITH {FRAMES} SELECT f.source_id, f.id, m.sharpness IS NOT NULL AS analysed, round(m.sharpness, 6) AS sharpness FROM frames f LEFT JOIN (SELECT * FROM frames WHERE cls <> 39) m ON m.source_id = f.source_id AND m.id = f.id""")
 def metrics_left_join(spark, sf):
     from keyreel.plans.pipeline import with_metrics
 
     f = A.event_frames(spark, sf)
-    out = with_metrics(f, f.where("id % 3 <> 0"))
+    # A scan that was made without the frames of failures.
+    out = with_metrics(f, f.where("detections[0].class_id <> 39"))
     return out.select("source_id", "id", F.col("metrics.sharpness").isNotNull().alias("analysed"), r6(F.col("metrics.sharpness"), "sharpness"))
 
 
@@ -313,17 +357,17 @@ def metrics_left_join(spark, sf):
 def _spans(spark, sf):
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     e = A.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), ms.alias("t"))
-    return e.groupBy("source_id").agg(((F.max("t") - F.min("t")) / 3600000.0).alias("duration_sec")).withColumn("fps", F.lit(2.5)).where("duration_sec > 10")
+    return e.groupBy("source_id").agg(((F.max("t") - F.min("t")) / 3600000.0).alias("duration_sec")).withColumn("fps", F.lit(2.5))
 
 
 def _sampling(name: str, n: str, step: str, extra: str = "", **options) -> None:
     budget = options.get("budget", sampling.BUDGET)
     count = f"least({n}, {budget})" if budget else n
 
-    @query(name, f"""WITH {SPANS}, p AS (SELECT source_id, d - 3 AS span, d FROM spans WHERE d > 10), q AS (SELECT *, CAST({n} AS INTEGER) AS want, CAST({count} AS INTEGER) AS n FROM p)
+    @query(name, f"""WITH {SPANS}, p AS (SELECT source_id, d - 3 AS span, d FROM spans WHERE d > 3), q AS (SELECT *, CAST({n} AS INTEGER) AS want, CAST({count} AS INTEGER) AS n FROM p)
       SELECT source_id, CAST(i AS INTEGER) AS "index", round(3 + i * s + 1e-9, 6) AS t, n AS planned, want > n AS capped FROM (SELECT *, {step} AS s, unnest(range(0, n)) AS i FROM q) WHERE n = 1 OR 3 + i * s < d - 1e-10""")
     def run(spark, sf):
-        p = sampling.with_plan(_spans(spark, sf), start=3.0, **options)
+        p = sampling.with_plan(_spans(spark, sf).where("duration_sec > 3"), start=3.0, **options)  # others end before the start
         rows = p.select("source_id", F.col("plan.count").alias("planned"), F.col("plan.capped").alias("capped"), F.posexplode(sampling.plan_times(F.col("plan"))).alias("index", "t"))
         return rows.select("source_id", "index", r6(F.col("t") + 1e-9, "t"), "planned", "capped")
 
@@ -336,10 +380,10 @@ _sampling("sampling_fps", _N.format("span / (1.0::DOUBLE / 0.05)"), "CASE WHEN w
 _sampling("sampling_all", _N.format("span * 2.5"), "span / n", all_=True, budget=150)
 
 
-@query("sampling_at", f"""WITH {SPANS}, t AS (SELECT source_id, unnest([7.5, 3.0, 250.0, 100.25, 9000.0]) AS t, d FROM spans WHERE d > 10)
+@query("sampling_at", f"""WITH {SPANS}, t AS (SELECT source_id, unnest([7.5, 3.0, 250.0, 100.25, 9000.0]) AS t, d FROM spans WHERE d > 3)
   SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY t) - 1 AS INTEGER) AS "index", CAST(t * 1000 AS BIGINT) AS time_ms FROM t WHERE t >= 3 AND t < d QUALIFY "index" < 3""")
 def sampling_at(spark, sf):
-    p = sampling.with_plan(_spans(spark, sf), at=[100.25, 3.0, 7.5, 7.5, 1.0, 250.0, 9000.0], start=3.0, budget=3)
+    p = sampling.with_plan(_spans(spark, sf).where("duration_sec > 3"), at=[100.25, 3.0, 7.5, 7.5, 1.0, 250.0, 9000.0], start=3.0, budget=3)
     return sampling.planned_rows(p).select("source_id", "index", "time_ms")
 
 
@@ -350,7 +394,8 @@ def pts_downsample(spark, sf):
     return t.select("source_id", F.explode(sampling.downsampled(F.col("t"), 20)).alias("time_ms"))
 
 
-@query("estimate_rows", f"""WITH {SPANS} SELECT source_id, CAST({_N.format('d * 2.5')} AS INTEGER) AS all_rows, CAST({_N.format('d / 20')} AS INTEGER) AS every_rows, CAST({_N.format('d * (1 / 0.5)')} AS INTEGER) AS fps_rows, 7 AS count_rows FROM spans WHERE d > 10""")
+@query("estimate_rows", f"""WITH {SPANS} SELECT source_id, CASE WHEN d <= 0 THEN 0 ELSE CAST({_N.format('d * 2.5')} AS INTEGER) END AS all_rows, CASE WHEN d <= 0 THEN 0 ELSE CAST({_N.format('d / 20')} AS INTEGER) END AS every_rows,
+  CASE WHEN d <= 0 THEN 0 ELSE CAST({_N.format('d * (1 / 0.5)')} AS INTEGER) END AS fps_rows, 7 AS count_rows FROM spans""")
 def estimate_rows(spark, sf):
     d, fps = F.col("duration_sec"), F.col("fps")
     e = lambda s, name, **k: sampling.estimate(s, d, fps, **k).cast("int").alias(name)
@@ -432,25 +477,47 @@ def nms_keep(spark, sf):
     return b.select("id", F.explode(vision.suppressed(F.col("boxes"))).alias("k")).select("id", F.col("k.r").cast("long").alias("r"))
 
 
-@query("yolox_decode", f"SELECT vec_id, CAST(vec_id % 80 AS INTEGER) AS class_id, {list(T.CLASS_NAMES)}[vec_id % 80 + 1] AS class_name, 0.72::DOUBLE AS confidence FROM embeddings")
+@query("yolox_decode", f"""WITH v AS (SELECT vec_id, CAST(vec_id % 3549 AS INTEGER) AS c FROM embeddings), g AS (SELECT vec_id, CASE WHEN c < 2704 THEN c % 52 WHEN c < 3380 THEN (c - 2704) % 26 ELSE (c - 3380) % 13 END AS x,
+  CASE WHEN c < 2704 THEN c // 52 WHEN c < 3380 THEN (c - 2704) // 26 ELSE (c - 3380) // 13 END AS y, CASE WHEN c < 2704 THEN 8 WHEN c < 3380 THEN 16 ELSE 32 END AS s FROM v),
+  b AS (SELECT vec_id, (x + 0.5) * s / 0.65::DOUBLE AS cx, (y + 0.5) * s / 0.65::DOUBLE AS cy, exp(0.5::DOUBLE) * s / 0.65::DOUBLE AS e FROM g),
+  o AS (SELECT vec_id, least(1, greatest(0, (cx - e / 2) / 640)) AS x0, least(1, greatest(0, (cy - e / 2) / 360)) AS y0, least(1, greatest(0, (cx + e / 2) / 640)) AS x1, least(1, greatest(0, (cy + e / 2) / 360)) AS y1 FROM b)
+  SELECT vec_id, CAST(vec_id % 80 AS INTEGER) AS class_id, {list(T.CLASS_NAMES)}[vec_id % 80 + 1] AS class_name, 0.72::DOUBLE AS confidence,
+  round(x0 + 1e-9, 6) AS x, round(y0 + 1e-9, 6) AS y, round(x1 - x0 + 1e-9, 6) AS width, round(y1 - y0 + 1e-9, 6) AS height FROM o""")
 def yolox_decode(spark, sf):
     v = A.table(spark, sf, "embeddings")
     cells = vision.cell_count()
-    # One cell with an object for each vector, at a place and of a class that follow from its id.
+    # One cell with an object for each vector, at a place and of a class that follow from its id; a second
+    # one beside it, less sure and of the same class, overlaps and goes.
     place = (F.col("vec_id") % cells).cast("int")
-    values = F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.when(i < 4, F.lit(0.5)).when(i == 4, 0.9).when(i - 5 == F.col("vec_id") % 80, 0.8).otherwise(0.1).cast("float"))
+    cell = lambda sure, x=0.5: F.transform(F.sequence(F.lit(0), F.lit(84)), lambda i: F.when(i == 0, F.lit(x)).when(i < 4, F.lit(0.5)).when(i == 4, sure).when(i - 5 == F.col("vec_id") % 80, 0.8).otherwise(0.1).cast("float"))
     none = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n * 85)
-    raw = F.concat(none(place), values, none(cells - 1 - place))
+    twin = (place % 13 < 12) & (place < cells - 1)  # not at the end of a row
+    raw = F.concat(none(place), cell(0.9), F.when(twin, F.concat(cell(0.8, -0.3), none(cells - 2 - place))).otherwise(none(cells - 1 - place)))
     d = v.select("vec_id", vision.detections_of(raw, F.lit(640), F.lit(360)).alias("d"))
-    return d.select("vec_id", F.explode("d").alias("d")).select("vec_id", "d.class_id", "d.class_name", r6(F.col("d.confidence"), "confidence"))
+    box = [r6(F.col(f"d.box.{n}") + 1e-9, n) for n in ("x", "y", "width", "height")]
+    return d.select("vec_id", F.explode("d").alias("d")).select("vec_id", "d.class_id", "d.class_name", r6(F.col("d.confidence"), "confidence"), *box)
 
 
-@query("text_regions")
+@query("text_regions", f"""WITH RECURSIVE {GRIDS}, cell AS (SELECT id, i, CAST(grid[i + 1] AS FLOAT) > CAST(0.55 AS FLOAT) AS up FROM (SELECT id, grid, unnest(range(0, 64)) AS i FROM grids)),
+  m AS (SELECT id, i FROM cell WHERE up), step AS (SELECT a.id, a.i, b.i AS j FROM m a JOIN m b ON a.id = b.id AND (abs(a.i - b.i) = 8 OR (abs(a.i - b.i) = 1 AND a.i // 8 = b.i // 8))),
+  reach AS (SELECT id, i, i AS j FROM m UNION SELECT r.id, r.i, s.j FROM reach r JOIN step s ON s.id = r.id AND s.i = r.j),
+  region AS (SELECT id, low, count(*) AS n FROM (SELECT id, i, min(j) AS low FROM reach GROUP BY 1, 2) GROUP BY 1, 2),
+  t AS (SELECT id, count(*) AS n FROM region WHERE n >= 4 GROUP BY 1), cov AS (SELECT id, count(*) FILTER (up) / 64.0::DOUBLE AS coverage FROM cell GROUP BY 1)
+  SELECT id, coalesce(n, 0) > 0 AS has_text, round(coverage, 6) AS coverage, CAST(coalesce(n, 0) AS INTEGER) AS region_count FROM cov LEFT JOIN t USING (id)""")
 def text_regions(spark, sf):
     t = A.grids(spark, sf).select("id", vision.text_of(F.transform("grid", lambda x: x.cast("float")), F.lit(8), F.lit(8), 4, 0.55).alias("t"))
     return t.select("id", "t.has_text", r6(F.col("t.coverage"), "coverage"), "t.region_count")
 
 
+@query("incomplete_sources", f"""WITH {FRAMES} SELECT source_id, CASE WHEN bool_or("index" % 50 = 49) THEN 'TEXT_VISION_BLOCKED' ELSE 'VISION_NOT_READY' END AS code FROM frames
+  GROUP BY 1 HAVING bool_or("index" % 50 = 49) OR bool_or(id % 40 = 0)""")
+def incomplete_sources(spark, sf):
+    """Sources that refuse a question for persons without text, whatever their frames' quality."""
+    f = A.event_frames(spark, sf).withColumn("detections", F.when(F.col("id") % 40 != 0, F.col("detections")))
+    f = f.withColumn("text", F.when(F.col("index") % 50 != 49, F.struct(F.lit(False).alias("has_text"), F.lit(0.0).alias("coverage"))))
+    return S.incomplete(f, S.SelectOptions(with_=("person",), without_text=True, min_quality=0.4), "source_id")
+
+
 @query("completeness_check", f"WITH {FRAMES} SELECT source_id, coalesce(bool_and(exposure IS NOT NULL AND id % 500 <> 0), false) AS complete FROM frames GROUP BY 1")
 def completeness_check(spark, sf):
     f = A.event_frames(spark, sf)
@@ -461,6 +528,4 @@ def completeness_check(spark, sf):
 @query("reuse_threshold", "SELECT p_partkey AS id, p_size / 50.0::DOUBLE <= 0.4 AS reusable FROM part")
 def reuse_threshold(spark, sf):
     p = A.table(spark, sf, "part")
-    wanted = S.MIN_CONFIDENCE
-    assert S.can_reuse(0.2, wanted) and not S.can_reuse(0.5, wanted) and not S.can_reuse(None, wanted)
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0 <= wanted).alias("reusable"))
+    return p.select(F.col("p_partkey").alias("id"), S.can_reuse(F.col("p_size") / 50.0, None).alias("reusable"))

@@ -68,7 +68,7 @@ def probe_command(path: str) -> list[str]:
 def timestamp_command(path: str, start: float | None = None, end: float | None = None) -> list[str]:
     out = ["-v", "error", "-select_streams", "v:0", "-show_entries", "frame=best_effort_timestamp_time", "-print_format", "json"]
     if start is not None or end is not None:
-        out += ["-read_intervals", f"{'' if start is None else format(start, 'g')}%{'' if end is None else format(end, 'g')}"]
+        out += ["-read_intervals", f"{'' if start is None else _number(start)}%{'' if end is None else _number(end)}"]
     return [*out, path]
 
 

@@ -102,6 +102,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def frame_difference(luma_a: Column, luma_b: Column, rgb_a: Column, rgb_b: Column) -> Column:
-    """0.72 of the mean luma difference and 0.28 of the colour distance, 1 at most."""
+    """0.72 of the mean luma difference and 0.28 of the colour distance, 1 at most; null without one of the frames."""
     total = F.aggregate(F.zip_with(luma_a, luma_b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return F.least(F.lit(1.0), total / F.size(luma_a) * 0.72 + color_distance(rgb_a, rgb_b) * 0.28)
+    both = luma_a.isNotNull() & luma_b.isNotNull()
+    return F.when(both, F.least(F.lit(1.0), total / F.size(luma_a) * 0.72 + color_distance(rgb_a, rgb_b) * 0.28))

@@ -10,8 +10,8 @@ from keyreel.functions.pixels import color_distance, hamming
 MAX_BITS, MAX_COLOR, NO_MATCH = 4, 0.035, 128
 
 
-def is_duplicate(bits: Column, color: Column) -> Column:
-    return (bits <= MAX_BITS) & (color <= MAX_COLOR)
+def is_duplicate(bits: Column, color: Column, max_bits: int = MAX_BITS, max_color: float = MAX_COLOR) -> Column:
+    return (bits <= max_bits) & (color <= max_color)
 
 
 def nearest_earlier(frames: DataFrame, distance: Column, duplicate: Column) -> DataFrame:

@@ -102,16 +102,26 @@ def predicate(o: SelectOptions) -> Column:
     return out
 
 
-def filter_frames(frames: DataFrame, o: SelectOptions) -> DataFrame:
-    """Frames that meet all conditions. A frame of unknown detections or text is an error where
-    these are asked for: it is neither with nor without."""
-    validate(o)
+def incomplete(frames: DataFrame, o: SelectOptions, *by: str) -> DataFrame:
+    """by, code: what keeps the options from being answered, where any frame lacks text or detections
+    that they ask for. Such a frame is neither with nor without."""
+    code = F.lit(None).cast("string")
     if needs_detections(o):
-        known = F.when(F.col("detections").isNull(), F.raise_error(F.lit("SELECT_FAILED: detections are missing"))).otherwise(F.col("detections"))
-        frames = frames.withColumn("detections", known)
+        code = F.when(F.bool_or(F.col("detections").isNull()), "VISION_NOT_READY").otherwise(code)
     if needs_text(o):
-        known = F.when(F.col("text").isNull(), F.raise_error(F.lit("SELECT_FAILED: text analysis is missing"))).otherwise(F.col("text"))
-        frames = frames.withColumn("text", known)
+        code = F.when(F.bool_or(F.col("text").isNull()), "TEXT_VISION_BLOCKED").otherwise(code)
+    return frames.groupBy(*by).agg(code.alias("code")).where("code is not null")
+
+
+def filter_frames(frames: DataFrame, o: SelectOptions) -> DataFrame:
+    """Frames that meet all conditions; an error if any frame, whether it meets the other conditions or
+    not, lacks the detections or the text that are asked for. That is looked up right away."""
+    validate(o)
+    if needs_detections(o) or needs_text(o):
+        found = incomplete(frames, o).first()
+        if found:
+            what = {"VISION_NOT_READY": "detections are missing", "TEXT_VISION_BLOCKED": "text analysis is missing"}
+            raise FrameError(found.code, what[found.code], "analyse all frames for it first")
     return frames.where(predicate(o))
 
 
@@ -185,6 +195,9 @@ def complete_for(frames: DataFrame, o: SelectOptions) -> DataFrame:
     return frames.groupBy("source_id").agg(F.coalesce(F.bool_and(F.coalesce(ok, F.lit(False))), F.lit(False)).alias("complete"))
 
 
-def can_reuse(stored: float | None, wanted: float | None) -> bool:
-    """Whether stored detections hold all that a threshold asks for."""
-    return stored is not None and stored <= (MIN_CONFIDENCE if wanted is None else wanted)
+def can_reuse(stored: float | Column | None, wanted: float | None) -> bool | Column:
+    """Whether stored detections hold all that a threshold asks for; stored may be a column."""
+    wanted = MIN_CONFIDENCE if wanted is None else wanted
+    if isinstance(stored, Column):
+        return F.coalesce(stored <= wanted, F.lit(False))
+    return stored is not None and stored <= wanted

@@ -156,7 +156,7 @@ def _listing(sources: DataFrame, start: float, end: float | None, tools: Tools)
 
 
 def planned_work(probes: DataFrame, how: Sampling, tools: Tools = Tools()) -> DataFrame:
-    """A row for each decoder run: source_id, path, kind, first (index), times, interval, start, end.
+    """A row for each decoder run: source_id, path, kind, fps, first (index), times, interval, start, end.
 
     A steady plan within its budget is one pass over its source, and so are all frames; others are seeks, SEEKS at a time."""
     p = sampling.with_plan(probes, every=how.every, fps=how.fps, count=how.count, at=how.at, all_=how.all_, start=how.start, end=how.end, budget=how.budget)
@@ -169,16 +169,19 @@ def planned_work(probes: DataFrame, how: Sampling, tools: Tools = Tools()) -> Da
     else:
         steady = F.col("plan.strategy").isin("every", "fps") & ~F.col("plan.capped") & (F.col("plan.interval_sec") >= media.LEAST_INTERVAL)
         p = p.withColumn("times", sampling.plan_times(F.col("plan"))).withColumn("kind", F.when(steady, "interval").otherwise("seek"))
-    p = p.select("source_id", "path", "kind", "times", F.col("plan.interval_sec").alias("interval"), F.col("plan.from_sec").alias("start"), F.col("plan.to_sec").alias("end"))
+    p = p.select("source_id", "path", "kind", "times", "fps", F.col("plan.interval_sec").alias("interval"), F.col("plan.from_sec").alias("start"), F.col("plan.to_sec").alias("end"))
     chunks = F.expr(f"transform(sequence(0, cast((size(times) - 1) / {SEEKS} as int)), i -> struct(i * {SEEKS} as first, slice(times, i * {SEEKS} + 1, {SEEKS}) as times))")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("times").alias("times")))
-    return p.where(F.size("times") > 0).select("source_id", "path", "kind", "interval", "start", "end", F.explode(F.when(F.col("kind") == "seek", chunks).otherwise(whole)).alias("piece")).select(
-        "source_id", "path", "kind", "interval", "start", "end", "piece.first", "piece.times"
+    return p.where(F.size("times") > 0).select("source_id", "path", "kind", "fps", "interval", "start", "end", F.explode(F.when(F.col("kind") == "seek", chunks).otherwise(whole)).alias("piece")).select(
+        "source_id", "path", "kind", "fps", "interval", "start", "end", "piece.first", "piece.times"
     )
 
 
-def _decode(work: DataFrame, folder: str, images: Images) -> DataFrame:
-    """source_id, index, time_sec, path of the frames that the decoder writes for the rows of work."""
+def _decode(work: DataFrame, folder: str, images: Images, exact: bool = True) -> DataFrame:
+    """source_id, index, time_sec, path of the frames that the decoder writes for the rows of work.
+
+    Where all frames are wanted and their number is not that of the times, exact fails; otherwise
+    their times follow from the rate of frames."""
     ext = images.extension
     like = {"fmt": images.fmt, "quality": images.quality, "max_width": images.max_width}
 
@@ -193,10 +196,17 @@ def _decode(work: DataFrame, folder: str, images: Images) -> DataFrame:
             return
         pattern = f"{into}/frame_%06d.{ext}"
         if row["kind"] == "all":
-            argv = media.all_frames_command(row["path"], pattern, start=row["start"], end=row["end"], most=len(times), **like)
+            argv = media.all_frames_command(row["path"], pattern, start=row["start"], end=row["end"], most=len(times) if exact else None, **like)
         else:
             argv = media.interval_command(row["path"], pattern, row["interval"], start=row["start"], end=row["end"], **like)
         M.run_tool([exe, *argv])
+        if row["kind"] == "all" and not exact:
+            n = 0
+            while os.path.exists(name(n)):
+                n += 1
+            if n != len(times):
+                step = 1 / row["fps"] if row["fps"] and row["fps"] > 0 else 0.0
+                times = [(row["start"] or 0.0) + k * step for k in range(n)]
         i = 0
         while os.path.exists(name(i)):
             if i < len(times):
@@ -263,6 +273,8 @@ def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how:
         raise FrameError("GUARD", f"{root} is a workspace already", "choose another folder or allow overwriting")
     progress(progress_event("extract", 0, 1))
     os.makedirs(root, exist_ok=True)
+    if overwrite:
+        W.prepare_output(root, True)
     name = f"probes-{uuid.uuid4().hex}.json"
     probe(sources, images.tools).write.json(f"{root}/{name}")
     probes = spark.read.schema(schemas.PROBES).json(f"{root}/{name}")
@@ -273,8 +285,14 @@ def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how:
         sampling.guard_rows(expected, most, force)
     folder = W.canonical_path(output) if output else f"{root}/frames"
     raw = f"{folder}/.unnamed-{uuid.uuid4().hex}" if output and images.template else folder
+    plan = f"{root}/work-{uuid.uuid4().hex}.parquet"
+    planned = planned_work(probes, how, images.tools)
+    planned.write.parquet(plan)
+    planned = spark.read.schema(planned.schema).parquet(plan)
+    if most is not None and (n := planned.agg(F.sum(F.size("times"))).first()[0] or 0) > most:
+        raise FrameError("GUARD", f"the plan has {n} frames, which exceed the limit of {most}")
     _prepared(probes, folder, overwrite)
-    rows = _decode(planned_work(probes, how, images.tools), raw, images)
+    rows = _decode(planned, raw, images, exact=output is None)
     shown = probes.select("source_id", F.col("path").alias("video"), F.col("width").alias("w"), F.col("height").alias("h"))
     rows = rows.join(shown, "source_id").withColumn("time_ms", F.floor(F.col("time_sec") * 1000 + 0.5).cast("long"))
     if raw != folder:
@@ -414,14 +432,20 @@ def select(spark: SparkSession, root: str, preset: str | None = None, options: S
     return read_selections(spark, root)
 
 
-def export(spark: SparkSession, root: str, output: str, images: Images | None = None, overwrite: bool = False, manifest: bool = True, progress: Progress = _silent) -> DataFrame:
+def export(spark: SparkSession, root: str, output: str, images: Images | None = None, overwrite: bool = False, manifest: bool = True, progress: Progress = _silent, inputs: list[str] | None = None) -> DataFrame:
     """The selected frames, read from their videos once more at full quality: source_id, pos, frame_id,
-    time_sec, path. One source is written to output itself, several to a folder for each."""
+    time_sec, path. One source is written to output itself, several to a folder for each. With inputs,
+    the videos of the selected frames must be among them."""
     images = Images(quality=EXPORT_QUALITY) if images is None else images
     output = W.canonical_path(output)
     chosen = read_selections(spark, root)
     ids = chosen.select("source_id").distinct()
     several = len(ids.limit(2).collect())
+    if inputs is not None:
+        named = spark.createDataFrame([(W.canonical_path(p),) for p in inputs], "path string")
+        other = read_probes(spark, root).join(ids, "source_id").join(named, "path", "left_anti").select("path").first()
+        if other:
+            raise FrameError("EXPORT_FAILED", f"{other.path} is not one of the videos given", "export a workspace with the videos it was made from")
     if not several:
         raise FrameError("EXPORT_FAILED", "no frame is selected")
     if os.path.isdir(output) and os.listdir(output) and not overwrite:

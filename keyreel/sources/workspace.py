@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from keyreel.functions.naming import absolute_path, artifact_path
 # Files that an output folder may lose when it is overwritten.
 FRAME_FILE = re.compile(r"^frame_\d{6}\.(jpg|jpeg|png|webp)$")
 WORKSPACE_FILES = {"manifest.json", "frames.jsonl", "selections.json"}
+#: Tables that the steps write under names of their own.
+TABLES = re.compile(r"^(frames|probes|scan|selections|exported|work)-[0-9a-f]{32}\.(jsonl|json|parquet)$")
 
 
 def canonical_path(path: str) -> str:
@@ -24,8 +28,13 @@ def canonical_path(path: str) -> str:
 
 
 def read_frames(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """Frames of JSON lines; blank lines are skipped, paths are made absolute under root."""
-    out = spark.read.schema(schemas.FRAMES).option("mode", "FAILFAST").json(path)
+    """Frames of JSON lines; blank lines are skipped, paths are made absolute under root. No file, no frames."""
+    try:
+        out = spark.read.schema(schemas.FRAMES).option("mode", "FAILFAST").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        out = spark.createDataFrame([], schemas.FRAMES)
     return out.withColumn("path", absolute_path(F.col("path"), F.lit(root))) if root else out
 
 
@@ -84,8 +93,11 @@ def prepare_output(folder: str, overwrite: bool = False) -> None:
     if names and not overwrite:
         raise FrameError("GUARD", f"{folder} is not empty", "choose another folder or allow overwriting; unrelated files are kept")
     for n in names:
-        if FRAME_FILE.match(n) or n in WORKSPACE_FILES:
-            os.unlink(os.path.join(folder, n))
+        where = os.path.join(folder, n)
+        if TABLES.match(n) and os.path.isdir(where):
+            shutil.rmtree(where)
+        elif FRAME_FILE.match(n) or n in WORKSPACE_FILES:
+            os.unlink(where)
 
 
 def bounded(frames: DataFrame, n: int = 20) -> dict:
@@ -98,3 +110,11 @@ def with_digests(spark: SparkSession, pattern: str) -> DataFrame:
     """path, size, sha256 of files."""
     files = spark.read.format("binaryFile").load(pattern)
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verified(digests: DataFrame, expected: DataFrame) -> DataFrame:
+    """path, actual, ok: the digests of files against those expected (path, sha256), in any case of letters.
+    A file that is not there has no actual digest, and is not ok."""
+    want = expected.select("path", F.col("sha256").alias("wanted"))
+    both = want.join(digests.select("path", F.col("sha256").alias("actual")), "path", "left")
+    return both.select("path", "actual", F.coalesce(F.lower("actual") == F.lower("wanted"), F.lit(False)).alias("ok"))

@@ -58,8 +58,13 @@ def test_predicates(spark):
     assert pick(min_text_coverage=0.1, max_text_coverage=0.2) == ["frame-2"]
     assert pick(min_quality=0.6) == ["frame-1"] and pick(min_quality=0.0) == ["frame-1", "frame-2"]
     assert pick(with_=("person",), min_confidence=0.95) == []
-    with pytest.raises(Exception, match="detections are missing"):
-        ids(S.filter_frames(f.withColumn("detections", F.when(F.col("id") == "frame-1", F.col("detections"))), S.SelectOptions(without=("car",))))
+    # A frame without detections or text is refused, also where another condition would leave it out.
+    bare = f.withColumn("detections", F.when(F.col("id") == "frame-1", F.col("detections"))).withColumn("text", F.when(F.col("id") == "frame-1", F.col("text")))
+    for bad, code in (({"without": ("car",), "min_quality": 0.6}, "VISION_NOT_READY"), ({"with_": ("person",), "without_text": True, "min_quality": 0.6}, "TEXT_VISION_BLOCKED")):
+        with pytest.raises(FrameError) as e:
+            S.filter_frames(bare, S.SelectOptions(**bad))
+        assert (e.value.code, e.value.exit_code) == (code, 5)
+    assert ids(S.filter_frames(bare, S.SelectOptions(min_quality=0.6))) == ["frame-1"]
     for bad in ({"rank": "size"}, {"min_confidence": 0.0}, {"limit": 0}, {"min_text_coverage": 0.5, "max_text_coverage": 0.1}, {"min_quality": 2.0}):
         with pytest.raises(FrameError) as e:
             S.validate(S.SelectOptions(**bad))
