@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,11 +52,20 @@ def cut_table(df: DataFrame, parts: int | None = None) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of cut_table() that nothing reads any more, and let go of finished shuffles.
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles.
 
     Spark removes a shuffle's files once the driver's JVM has collected the plan that made it; by
-    itself that may be long after a loop of many small jobs is over."""
+    itself that may be long after a job of many steps is over. The first collection only lets the
+    plan's handles go, so there are two of them, with some time for what they lead to."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut_table() that nothing reads any more, and let go of finished shuffles."""
     for t in tables:
         path = getattr(t, "_keyreel_path", None)
         if path:
@@ -63,7 +73,7 @@ def drop(*tables: DataFrame) -> None:
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
             t._keyreel_path = None
-    if tables:
+    if tables:  # each call completes the one before
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 

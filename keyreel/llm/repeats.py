@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyreel.llm.common import cut_table, drop
+from keyreel.llm.common import cut_table, drop, release
 from keyreel.llm.textbytes import BYTE_VALUES, buffers, mix, pieces, powers, prefix_hash
 
 LENGTH, GRAM = 200, 64
@@ -449,7 +449,9 @@ def _apply(kept: bool):
 
 def _applied(docs: DataFrame, hot: int, kept: bool) -> DataFrame:
     d, classes = _texts(docs)
-    lead = classes.join(repeated_spans(d, classes, hot), "key", "left")
+    spans = repeated_spans(d, classes, hot)
+    release(d.sparkSession)  # of the search; the texts are shuffled once more, to be cut
+    lead = classes.join(spans, "key", "left")
     # A row without a class of its own is a copy of another row, or too short.
     rows = d.join(lead, ["id", "key"], "left")
     n = F.octet_length("text")
