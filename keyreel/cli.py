@@ -90,6 +90,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("select", "select frames of a workspace, or of a frames table (JSON lines)", _selection, _detector)
     c.add_argument("frames")
     c.add_argument("--out", help="selections of a frames table")
+    c.add_argument("--documents", help="a folder for one JSON document a source")
     c = command("export", "the selected frames at full quality", lambda c: _images(c, 0.92))
     c.add_argument("workspace")
     c.add_argument("--output", required=True)
@@ -140,7 +141,7 @@ def run(argv: list[str], progress: Callable[[dict], None] = report) -> dict:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from keyreel.operators.select import validate
+    from keyreel.operators.select import apply_preset, echoed, validate
     from keyreel.operators.vision import detect_summary, detect_text
     from keyreel.plans import pipeline
     from keyreel.plans import workspaces as P
@@ -191,6 +192,9 @@ def run(argv: list[str], progress: Callable[[dict], None] = report) -> dict:
         chosen = pipeline.run(workspace.read_frames(spark, args.frames), args.preset, options)
     if args.out:
         workspace.write_selections(chosen, args.out)
+    if args.documents:
+        said = echoed(apply_preset(args.preset, options) if args.preset else options)
+        workspace.write_selection_documents(chosen, args.documents, said).write.format("noop").mode("overwrite").save()
     return {"count": chosen.count(), "sample": rows(chosen, "source_id", "pos")}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Image formats by their file endings.
 EXTENSIONS = {"image/jpeg": "jpg", "image/png": "png", "image/webp": "webp"}
 LEAST_INTERVAL = 0.05
 
@@ -72,6 +73,11 @@ def timestamp_command(path: str, start: float | None = None, end: float | None =
     return [*out, path]
 
 
+def select_times_filter(times: list[float]) -> str:
+    """A filter that passes the frames at these times, in thousandths of a second."""
+    return "select='" + "+".join(f"eq(t\\,{t:.3f})" for t in times) + "'"
+
+
 def _quality(fmt: str, quality: float) -> list[str]:
     q = min(1.0, max(0.0, quality))
     if fmt == "image/jpeg":
@@ -107,8 +113,9 @@ def single_frame_command(path: str, out_path: str, at: float, fmt: str = "image/
 
 
 def raw_rgb_command(pattern: str, width: int, height: int, letterbox: bool = False, pad: str = "0x727272") -> list[str]:
-    """Frames as raw rgb24 on standard output; with letterbox, shrunk to fit and padded at the right and below."""
+    """Frames as raw rgb24 on standard output, one of a path without a number pattern; with letterbox, shrunk to fit and padded at the right and below."""
     if letterbox:
         vf = f"scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:0:0:color={pad}"
         return ["-v", "error", "-i", pattern, "-vf", vf, "-frames:v", "1", "-f", "rawvideo", "-pix_fmt", "rgb24", "pipe:1"]
-    return ["-v", "error", "-framerate", "1", "-i", pattern, "-vf", f"scale={width}:{height}", "-f", "rawvideo", "-pix_fmt", "rgb24", "pipe:1"]
+    one = ["-frames:v", "1"] if "%" not in pattern else []
+    return ["-v", "error", *(["-framerate", "1"] if not one else []), "-i", pattern, "-vf", f"scale={width}:{height}", *one, "-f", "rawvideo", "-pix_fmt", "rgb24", "pipe:1"]

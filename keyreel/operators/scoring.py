@@ -55,7 +55,8 @@ def pareto_front(frames: DataFrame, score: str = "composite", sharpness: str = "
 
 def pareto_keepers(frames: DataFrame, score: str = "composite", sharpness: str = "sharpness", duplicate: str = "duplicate_of_id") -> DataFrame:
     """The front of the frames that are no duplicates, from the mean score plus half a standard
-    deviation (0.04 at least) on; where none of a source reaches it, the whole front."""
+    deviation (0.04 at least) on; where none of a source reaches it, the whole front.
+    A source's first frame is never a duplicate, so the front of a source that has frames is never empty."""
     own = Window.partitionBy("source_id")
     pool = frames.where(F.col(duplicate).isNull())
     pool = pool.withColumn("__t", F.avg(score).over(own) + F.greatest(F.lit(0.04), F.stddev_pop(score).over(own) * 0.5))
@@ -64,6 +65,13 @@ def pareto_keepers(frames: DataFrame, score: str = "composite", sharpness: str =
     return front.where("__ok or not __any").drop("__t", "__ok", "__any")
 
 
+def recommendation_bounds(least: int = 5, most: int = 10) -> dict[str, int]:
+    """The bounds that a scan tells beside its recommendations. They are told only: what is recommended
+    follows from the fronts alone."""
+    most = max(1, most)
+    return {"min_recommendations": min(max(1, least), most), "max_recommendations": most}
+
+
 def scene_keyframes(frames: DataFrame, score: str = "composite", duplicate: str = "duplicate_of_id") -> DataFrame:
     """The best frame of each scene that is no duplicate; the first among equals."""
     w = Window.partitionBy("source_id", F.coalesce("scene_index", F.lit(0))).orderBy(F.desc(score), "index")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +101,9 @@ def downsampled(times: Column, budget: int) -> Column:
     return F.when(n <= budget, times).otherwise(pick)
 
 
-def guard_rows(rows: int, most: int | None = None, force: bool = False) -> None:
-    """Refuse large outputs that aren't wanted explicitly."""
+def guard_rows(rows: int, most: int | None = None, force: bool = False, confirm: Callable[[int], bool] | None = None) -> None:
+    """Refuse large outputs that aren't wanted explicitly; confirm is asked about them, where it is given."""
     if most is not None and rows > most:
         raise FrameError("GUARD", f"{rows} frames exceed the limit of {most}")
-    if not force and (rows > WARN_FRAMES or rows * FRAME_BYTES > WARN_BYTES):
+    if not force and (rows > WARN_FRAMES or rows * FRAME_BYTES > WARN_BYTES) and not (confirm and confirm(rows)):
         raise FrameError("GUARD", f"about {rows} frames would be written", "confirm, or choose a smaller range")

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from keyreel import schemas
 from keyreel.errors import FrameError
 from keyreel.functions import media, naming
+from keyreel.operators import scoring, vision
 from keyreel.operators import select as S
-from keyreel.operators import vision
 from keyreel.plans import pipeline, sampling
 from keyreel.sources import media as M
 from keyreel.sources import workspace as W
@@ -262,7 +262,7 @@ def _moved(rows: DataFrame, name: Column | str) -> DataFrame:
 
 
 def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how: Sampling = Sampling(), images: Images | None = None, output: str | None = None,
-            overwrite: bool = False, force: bool = False, most: int | None = None, progress: Progress = _silent) -> DataFrame:
+            overwrite: bool = False, force: bool = False, most: int | None = None, progress: Progress = _silent, confirm: Callable[[int], bool] | None = None) -> DataFrame:
     """The frames of videos, as a workspace in root: candidates in root/frames, or with output frames
     of full width in output, named by the template. inputs: paths, or a table of source_id, path."""
     root = W.canonical_path(root)
@@ -282,7 +282,7 @@ def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how:
         end = F.col("duration_sec") if how.end is None else F.least(F.lit(float(how.end)), F.col("duration_sec"))
         fps = F.when(F.coalesce("fps", F.lit(0.0)) > 0, F.col("fps")).otherwise(30.0)
         expected = probes.agg(F.sum(sampling.estimate("all", F.col("duration_sec"), fps, start=how.start, end=end))).first()[0] or 0
-        sampling.guard_rows(expected, most, force)
+        sampling.guard_rows(expected, most, force, confirm)
     folder = W.canonical_path(output) if output else f"{root}/frames"
     raw = f"{folder}/.unnamed-{uuid.uuid4().hex}" if output and images.template else folder
     plan = f"{root}/work-{uuid.uuid4().hex}.parquet"
@@ -310,6 +310,9 @@ def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how:
     state = {"probes": name, "sampling": vars(how), "candidates": output is None, "format": images.fmt, "detection_min_confidence": None}
     _store_frames(frames, root, **state)
     out = read_frames(spark, root)
+    if output:
+        W.write_json(f"{folder}/manifest.json", {"version": 1, "workspace": root, "frames": _state(root)["frames"], "probes": name, "sampling": vars(how), "format": images.fmt,
+                                                 "quality": images.quality, "max_width": images.max_width, "count": out.count()})
     if most is not None and (n := out.count()) > most:
         raise FrameError("GUARD", f"{n} frames exceed the limit of {most}")
     progress(progress_event("extract", 1, 1, "done"))
@@ -327,7 +330,8 @@ def _streamed(argv: list[str], size: int) -> Iterator[bytes]:
 
 
 def decoded(frames: DataFrame, tools: Tools = Tools(), size: tuple[int, int] = ANALYSIS_SIZE) -> DataFrame:
-    """The pixels table of candidate frames, one decoder run for a source, read as it comes."""
+    """The pixels table of candidate frames, read as they come: one decoder run for a source, or for each
+    file where the names are not numbered."""
     w, h = size
 
     def run(batches):
@@ -337,14 +341,15 @@ def decoded(frames: DataFrame, tools: Tools = Tools(), size: tuple[int, int] = A
                 k = 0
                 for block in _streamed([exe, *media.raw_rgb_command(row["pattern"], w, h)], w * h * 3):
                     if len(block) == w * h * 3:
-                        yield pa.RecordBatch.from_pydict({"source_id": [row["source_id"]], "index": pa.array([k], pa.int32()), "data": pa.array([block], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"source_id": [row["source_id"]], "index": pa.array([row["first"] + k], pa.int32()), "data": pa.array([block], pa.binary())})
                         k += 1
                 if k != row["n"]:
                     raise FrameError("ANALYZE_FAILED", f"{row['pattern']} gave {k} of {row['n']} frames")
 
-    pattern = F.regexp_replace(F.min("path"), r"frame_\d{6}(\.[a-z]+)$", "frame_%06d$1")
-    work = frames.groupBy("source_id").agg(pattern.alias("pattern"), F.count("*").alias("n"))
-    px = _spread(work, "source_id").mapInArrow(run, "source_id string, index int, data binary")
+    numbered = F.regexp_replace("path", r"frame_\d{6}(\.[^./]+)$", "frame_%06d$1")
+    alone = numbered == F.col("path")
+    work = frames.groupBy("source_id", numbered.alias("pattern"), F.when(alone, F.col("index")).alias("__one")).agg(F.count("*").alias("n"), F.min("index").alias("first")).drop("__one")
+    px = _spread(work, "source_id", "pattern").mapInArrow(run, "source_id string, index int, data binary")
     px = px.join(frames.select("source_id", "id", "index", "time_ms"), ["source_id", "index"])
     return px.select("source_id", "id", "index", "time_ms", F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(3).alias("channels"), "data")
 
@@ -358,7 +363,7 @@ def analyze(spark: SparkSession, root: str, tools: Tools = Tools(), progress: Pr
     name = f"scan-{uuid.uuid4().hex}.parquet"
     pipeline.analyze(decoded(frames, tools)).write.parquet(f"{root}/{name}")
     scan = spark.read.parquet(f"{root}/{name}")
-    _store_frames(pipeline.with_metrics(frames, scan).select(*frames.columns), root, scan=name)
+    _store_frames(pipeline.with_metrics(frames, scan).select(*frames.columns), root, scan=name, recommendations=scoring.recommendation_bounds())
     progress(progress_event("analyze", 1, 1, "done"))
     return scan
 

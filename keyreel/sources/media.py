@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import shutil
 import subprocess
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +21,49 @@ from keyreel.schemas import PIXELS
 PTS_BYTES, PTS_LEAST, PTS_MOST = 128, 1 << 20, 256 << 20
 
 
+def tool_places(name: str, explicit: str | None = None) -> list[tuple[str, str | None]]:
+    """(kind, path) of the places where a tool is looked for, in order; the first that has a path counts."""
+    folder = os.environ.get("KEYREEL_TOOLS_DIR", "").strip() or os.path.expanduser("~/.keyreel/tools")
+    managed = os.path.join(folder, name)
+    return [
+        ("explicit", (explicit or "").strip() or None),
+        ("environment", os.environ.get(f"KEYREEL_{name.upper()}_PATH", "").strip() or None),
+        ("path", shutil.which(name)),
+        ("managed", managed if os.path.isfile(managed) else None),
+    ]
+
+
 def find_tool(name: str, explicit: str | None = None) -> str:
-    """An explicit path, else the one on PATH."""
-    found = explicit or shutil.which(name)
+    """An explicit path, else KEYREEL_<NAME>_PATH, else the one on PATH, else the one in KEYREEL_TOOLS_DIR.
+
+    Executors look with their own environment."""
+    found = next((p for _, p in tool_places(name, explicit) if p), None)
     if not found:
         raise FrameError("FFMPEG_NOT_FOUND", f"{name} was not found")
+    if not (os.path.isfile(found) and os.access(found, os.X_OK)):
+        raise FrameError("FFMPEG_NOT_FOUND", f"{found} cannot be run")
     return found
 
 
 def run_tool(argv: list[str], most: int = 16 << 20, code: str = "EXTRACT_FAILED") -> bytes:
-    """Standard output of a command without a shell, `most` bytes at most."""
-    done = subprocess.run(argv, capture_output=True, check=False)
-    if done.returncode:
-        raise FrameError(code, f"{argv[0]} failed: {done.stderr[-500:].decode(errors='replace')}")
-    if len(done.stdout) > most:
-        raise FrameError(code, f"{argv[0]} wrote more than {most} bytes")
-    return done.stdout
+    """Standard output of a command without a shell. One that writes more than `most` bytes is ended, and so
+    is one whose task ends before it."""
+    with tempfile.TemporaryFile() as said:
+        p = subprocess.Popen(argv, stdout=subprocess.PIPE, stderr=said)
+        try:
+            out = p.stdout.read(most + 1)
+            if len(out) > most:
+                raise FrameError(code, f"{argv[0]} wrote more than {most} bytes")
+            p.wait()
+        finally:
+            p.stdout.close()
+            if p.poll() is None:
+                p.terminate()
+                p.wait()
+        if p.returncode:
+            said.seek(0)
+            raise FrameError(code, f"{argv[0]} failed: {said.read()[-500:].decode(errors='replace')}")
+    return out
 
 
 def pts_buffer(frames: int) -> int:

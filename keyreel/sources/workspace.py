@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ WORKSPACE_FILES = {"manifest.json", "frames.jsonl", "selections.json"}
 #: Tables that the steps write under names of their own.
 TABLES = re.compile(r"^(frames|probes|scan|selections|exported|work)-[0-9a-f]{32}\.(jsonl|json|parquet)$")
 
+# The text fields that an asset of each kind must have, and those it may have.
+ASSETS = {
+    "binaries": (("id", "platform", "arch", "filename", "sha256", "status"), ("sourceUrl", "license", "licenseUrl", "upstreamVersion", "approvedAt", "blockReason")),
+    "models": (("id", "file", "sha256", "origin", "upstreamVersion", "license", "provenance", "status"), ("url", "releaseTag", "licenseUrl", "blockReason")),
+}
+
 
 def canonical_path(path: str) -> str:
     return os.path.realpath(os.path.abspath(path))
@@ -53,6 +60,41 @@ def write_selections(selections: DataFrame, path: str) -> None:
     selections.write.mode("overwrite").json(path)
 
 
+def write_selection_documents(selections: DataFrame, folder: str, about: dict) -> DataFrame:
+    """One JSON document a source, `<source_id>.json` with its selections in order and what is in about
+    (filters, ranking), each written aside and moved into place. Returns source_id, path, count."""
+
+    def run(batches):
+        for b in batches:
+            paths = []
+            for source, rows in zip(b.column("source_id").to_pylist(), b.column("document").to_pylist()):
+                paths.append(os.path.join(folder, f"{source}.json"))
+                write_json(paths[-1], {"version": 1, "source_id": source, **about, "selections": json.loads(rows)})
+            yield pa.RecordBatch.from_arrays([b.column("source_id"), pa.array(paths, pa.string()), b.column("count")], ["source_id", "path", "count"])
+
+    one = F.struct("pos", "frame_id", "time_ms", "time_sec", "reasons")
+    docs = selections.groupBy("source_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("document"), F.count("*").alias("count"))
+    return docs.mapInArrow(run, "source_id string, path string, count bigint")
+
+
+def read_assets(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of a JSON catalogue of assets (kind: a name of ASSETS); an invalid catalogue fails."""
+    if kind not in ASSETS:
+        raise FrameError("USAGE", f"kind must be one of {', '.join(ASSETS)}")
+    needed, optional = ASSETS[kind]
+    row = ", ".join([*(f"{n}: string" for n in (*needed, *optional)), *(["sizeBytes: bigint"] if kind == "models" else [])])
+    doc = spark.read.schema(f"schemaVersion INT, {kind} ARRAY<STRUCT<{row}>>").option("mode", "FAILFAST").option("multiLine", True).json(path)
+    bad = F.coalesce(F.col("schemaVersion") != 1, F.lit(True)) | F.col(kind).isNull()
+    rows = doc.withColumn(kind, F.when(bad, F.raise_error(F.lit("IO: no catalogue of version 1"))).otherwise(F.col(kind))).select(F.inline(kind))
+    ok = F.col("sha256").rlike("^[a-fA-F0-9]{64}$") & F.col("status").isin("available", "blocked")
+    for n in needed:
+        ok = ok & F.col(n).isNotNull()
+    if kind == "models":
+        ok = ok & (F.col("sizeBytes").isNull() | (F.col("sizeBytes") > 0))
+    wrong = F.raise_error(F.concat(F.lit("IO: invalid asset "), F.coalesce(F.col(needed[0]), F.lit("null"))))
+    return rows.withColumn("sha256", F.when(F.coalesce(ok, F.lit(False)), F.col("sha256")).otherwise(wrong))
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFESTS).option("mode", "FAILFAST").option("multiLine", True).json(path)
 

@@ -8,10 +8,15 @@ import sys
 import numpy as np
 import pytest
 
-from keyreel import cli
+from keyreel import cli, schemas
 from keyreel.errors import FrameError, as_frame_error
+from keyreel.functions import media
+from keyreel.operators import scoring
 from keyreel.operators import select as S
+from keyreel.plans import sampling
 from keyreel.plans import workspaces as P
+from keyreel.sources import media as M
+from keyreel.sources import workspace as W
 
 #: Videos are text files of "seconds fps width height"; a frame's file holds its time.
 PROBE = """
@@ -200,3 +205,75 @@ def test_errors_of_executors(spark, videos):
     with pytest.raises(Exception) as e:
         P.probe(P.sources_of(spark, videos), P.Tools(ffprobe="/bin/false")).collect()
     assert as_frame_error(e.value).code == "PROBE_FAILED"
+
+
+def test_files_without_numbers(spark, tools, tmp_path):
+    rows = []
+    for i, (name, t) in enumerate((("b.jpg", 0.5), ("a.jpg", 1.0), ("c.jpg", 2.0))):
+        (tmp_path / name).write_text(repr(t))
+        rows.append(("v", f"frame-{i:06d}", i, 500 * i, str(tmp_path / name)))
+    px = P.decoded(spark.createDataFrame(rows, "source_id string, id string, index int, time_ms long, path string"), tools)
+    assert [(r["index"], r.data[0]) for r in px.orderBy("index").collect()] == [(0, 30), (1, 60), (2, 120)]
+
+
+def test_tools(tools, tmp_path, monkeypatch):
+    monkeypatch.setenv("KEYREEL_FFMPEG_PATH", tools.ffmpeg)
+    monkeypatch.setenv("KEYREEL_TOOLS_DIR", str(tmp_path))
+    assert M.find_tool("ffmpeg") == tools.ffmpeg and M.find_tool("ffmpeg", tools.ffprobe) == tools.ffprobe
+    assert [k for k, _ in M.tool_places("ffmpeg")] == ["explicit", "environment", "path", "managed"]
+    monkeypatch.delenv("KEYREEL_FFMPEG_PATH")
+    monkeypatch.setenv("PATH", "")
+    for make in (lambda: None, lambda: (tmp_path / "ffmpeg").write_text("no program")):
+        make()
+        with pytest.raises(FrameError) as e:
+            M.find_tool("ffmpeg")
+        assert e.value.code == "FFMPEG_NOT_FOUND"
+    (tmp_path / "ffmpeg").chmod(0o755)
+    assert M.find_tool("ffmpeg") == str(tmp_path / "ffmpeg")
+
+
+def test_bounded_output():
+    assert M.run_tool([sys.executable, "-c", "print('x' * 9)"], 10) == b"x" * 9 + b"\n"
+    with pytest.raises(FrameError, match="more than 10 bytes"):
+        M.run_tool([sys.executable, "-c", "while True: print('x')"], 10)
+    with pytest.raises(FrameError, match="no good"):
+        M.run_tool([sys.executable, "-c", "import sys; sys.exit('no good')"])
+
+
+def test_confirmation():
+    asked = []
+    sampling.guard_rows(10**6, confirm=lambda n: asked.append(n) or True)
+    assert asked == [10**6]
+    for answer in (None, lambda n: False):
+        with pytest.raises(FrameError):
+            sampling.guard_rows(10**6, confirm=answer)
+
+
+def test_selection_documents(spark, tmp_path):
+    rows = [("v", 2, "f2", 900, 0.9, [("rank", "b")]), ("v", 1, "f1", 100, 0.1, [("rank", "a")]), ("w", 1, "g", 0, 0.0, [])]
+    said = S.echoed(S.SelectOptions(limit=2))
+    done = W.write_selection_documents(spark.createDataFrame(rows, schemas.SELECTIONS), str(tmp_path), said).orderBy("source_id").collect()
+    assert [(r.source_id, r["count"]) for r in done] == [("v", 2), ("w", 1)]
+    doc = json.loads(open(done[0].path).read())
+    assert [s["frame_id"] for s in doc["selections"]] == ["f1", "f2"] and doc["ranking"]["limit"] == 2 and doc["selections"][0]["reasons"] == [{"code": "rank", "message": "a"}]
+
+
+def test_assets(spark, tmp_path):
+    good = {"id": "m", "file": "m.onnx", "sha256": "A" * 64, "origin": "o", "upstreamVersion": "1", "license": "l", "provenance": "p", "status": "available", "sizeBytes": 5}
+    path = tmp_path / "models.json"
+    path.write_text(json.dumps({"schemaVersion": 1, "models": [good]}, indent=1))
+    assert W.read_assets(spark, str(path), "models").first().file == "m.onnx"
+    for change in ({"sha256": "x"}, {"status": "gone"}, {"origin": None}, {"sizeBytes": 0}):
+        path.write_text(json.dumps({"schemaVersion": 1, "models": [{**good, **change}]}))
+        with pytest.raises(Exception) as e:
+            W.read_assets(spark, str(path), "models").collect()
+        assert as_frame_error(e.value).code == "IO"
+    path.write_text(json.dumps({"schemaVersion": 2, "models": [good]}))
+    with pytest.raises(Exception, match="version 1"):
+        W.read_assets(spark, str(path), "models").collect()
+
+
+def test_small_values():
+    assert media.select_times_filter([1.5, 3]) == "select='eq(t\\,1.500)+eq(t\\,3.000)'"
+    assert scoring.recommendation_bounds() == {"min_recommendations": 5, "max_recommendations": 10}
+    assert scoring.recommendation_bounds(7, 0) == {"min_recommendations": 1, "max_recommendations": 1}
