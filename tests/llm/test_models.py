@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from keyreel.llm import language, quality
 
@@ -190,3 +191,13 @@ def test_quality_scores_by_hand():
         idx, _, n = quality.features(b, np.array([0, len(b)]), 10)
         k, c = np.unique(idx, return_counts=True)
         assert abs(1 / (1 + math.exp(-(0.3 + (m.weights[k].astype(float) @ c) / max(1, n[0])))) - s) < 1e-9
+
+
+def test_language_sample_over_salts(spark):
+    """One language with many rows: the rows of the least hashes are learned, as without salts."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.lit("x").alias("lang"))
+    least = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).limit(150).collect()]
+    got, want = language.fit(docs, sample=150), language.fit(docs.where(F.col("doc_id").isin(least)), sample=150)
+    probe = docs.where("doc_id < 50")
+    score = lambda m: [r[0] for r in probe.select(m.predict(F.col("text"))["score"]).collect()]
+    assert score(got) == score(want) and all(np.array_equal(a, b) for a, b in zip(got.cost, want.cost))
