@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from keyreel.llm.common import crc_mod
 from keyreel.llm.textbytes import buffers, pieces
 
-PIECE, SALTS = 1 << 20, 64
+PIECE = 1 << 20
+#: Tasks whose ranks are drawn together at a time, and how often.
+FAN_IN, STEPS = 16, 3
 
 
 def _count(order: int):
@@ -199,11 +201,12 @@ class LanguageModel:
 def fit(docs: DataFrame, order: int = 3, sample: int = 300, most: int = 4000) -> LanguageModel:
     """A model of all languages from at most `sample` rows of each, and `most` in all."""
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # Ranks of salts first: then a language's task gets SALTS * `sample` rows at most, however many tasks there are.
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    for by in (("lang", "salt"), ("lang",)):
-        ids = ids.withColumn("r", rank(*by)).where(F.col("r") <= sample)
+    # The limit of ranks leaves `sample` rows of a language in each task before a shuffle. Tasks are drawn together
+    # in steps, so that none gets more than FAN_IN * `sample` rows, or of the first step the tasks' share in FAN_IN ** STEPS.
+    ids = known.select("doc_id", "lang").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(FAN_IN**STEPS)))
+    for step in range(STEPS, -1, -1):
+        by = Window.partitionBy("lang", F.pmod("salt", F.lit(FAN_IN**step))) if step else Window.partitionBy("lang")
+        ids = ids.withColumn("r", F.row_number().over(by.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= sample)
     ids = ids.orderBy("r", "lang").limit(most).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
     rows = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
     # An id with many rows counts as so many as its language still has.

@@ -193,9 +193,9 @@ def test_quality_scores_by_hand():
         assert abs(1 / (1 + math.exp(-(0.3 + (m.weights[k].astype(float) @ c) / max(1, n[0])))) - s) < 1e-9
 
 
-def test_language_sample_over_salts(spark):
-    """One language with many rows: the rows of the least hashes are learned, as without salts."""
-    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.lit("x").alias("lang"))
+def test_language_sample_over_tasks(spark):
+    """One language in many tasks: the rows of the least hashes are learned, however tasks are drawn together."""
+    docs = spark.range(0, 2000, 1, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.lit("x").alias("lang"))
     least = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).limit(150).collect()]
     got, want = language.fit(docs, sample=150), language.fit(docs.where(F.col("doc_id").isin(least)), sample=150)
     probe = docs.where("doc_id < 50")
