@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from keyreel.functions.pixels import color_distance, hamming
 
 MAX_BITS, MAX_COLOR, NO_MATCH = 4, 0.035, 128
+#: Earlier frames of a source that one join key holds.
+BLOCK = 1024
 
 
 def is_duplicate(bits: Column, color: Column, max_bits: int = MAX_BITS, max_color: float = MAX_COLOR) -> Column:
@@ -18,10 +20,14 @@ def nearest_earlier(frames: DataFrame, distance: Column, duplicate: Column) -> D
     """source_id, id, min_distance (128 without an earlier frame) and duplicate_of_id (the earliest
     match, which may be a duplicate itself).
 
-    distance and duplicate are over the aliases `b` (this frame) and `a` (an earlier one). The
-    join is by source, whose frames are bounded by the sampling budget."""
-    a, b = frames.alias("a"), frames.alias("b")
-    pairs = b.join(a, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.index") < F.col("b.index")), "left")
+    distance and duplicate are over the aliases `b` (this frame) and `a` (an earlier one). The exact
+    distance needs all earlier frames; the join is by source and block of them, so that a source of
+    very many frames is shared out over tasks."""
+    block = F.floor(F.col("index") / BLOCK).cast("int")
+    a = frames.withColumn("__block", block).alias("a")
+    b = frames.withColumn("__block", F.explode(F.sequence(F.lit(0), block))).alias("b")
+    same = (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.__block") == F.col("b.__block"))
+    pairs = b.join(a, same & (F.col("a.index") < F.col("b.index")), "left")
     rows = pairs.select(F.col("b.source_id").alias("source_id"), F.col("b.id").alias("id"), F.col("a.index").alias("i"), F.col("a.id").alias("other"), distance.alias("d"), duplicate.alias("dup"))
     return rows.groupBy("source_id", "id").agg(
         F.coalesce(F.min("d"), F.lit(NO_MATCH)).alias("min_distance"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENSITIVITY, DEBOUNCE_MS = 0.58, 650
+#: Boundaries that the fold of boundaries() appends to one array; appending copies it.
+PIECE = 256
 
 
 def scene_threshold(sensitivity: float = SENSITIVITY) -> float:
@@ -40,18 +42,26 @@ def boundaries(frames: DataFrame, threshold: Column, debounce_ms: int = DEBOUNCE
     """source_id, index, time_ms of the frames that begin a new scene: the difference reaches the
     threshold and the last accepted boundary (at first, the first frame) is debounce_ms ago.
 
-    A fold over the candidate frames of a source: only those that reach the threshold are gathered."""
+    A fold over the candidate frames of a source: only those that reach the threshold are gathered.
+    Accepted ones are kept in pieces, so time grows with their number, not with its square."""
     first = frames.groupBy("source_id").agg(F.min(F.struct("index", "time_ms")).alias("f"))
     hits = frames.where(F.col(difference) >= threshold).select("source_id", "index", "time_ms").where("index > 0")
     rows = hits.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("index", "time_ms"))).alias("hits")).join(first, "source_id")
-    empty = F.expr("cast(array() as array<struct<index:int,time_ms:bigint>>)")
+    piece = "array<struct<index:int,time_ms:bigint>>"
+    empty = F.expr(f"cast(array() as {piece})")
 
     def step(a: Column, x: Column) -> Column:
         ok = (x["time_ms"] - a["last"] >= debounce_ms) & (x["index"] > F.col("f.index"))
-        out = F.concat(a["out"], F.array(F.struct(x["index"].cast("int").alias("index"), x["time_ms"].alias("time_ms"))))
-        return F.struct(F.when(ok, x["time_ms"]).otherwise(a["last"]).alias("last"), F.when(ok, out).otherwise(a["out"]).alias("out"))
-
-    found = F.aggregate("hits", F.struct(F.col("f.time_ms").alias("last"), empty.alias("out")), step, lambda a: a["out"])
+        full = F.size(a["now"]) >= PIECE
+        one = F.array(F.struct(x["index"].cast("int").alias("index"), x["time_ms"].alias("time_ms")))
+        return F.struct(
+            F.when(ok, x["time_ms"]).otherwise(a["last"]).alias("last"),
+            F.when(ok & full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
+            F.when(ok & full, one).when(ok, F.concat(a["now"], one)).otherwise(a["now"]).alias("now"),
+        )
+
+    zero = F.struct(F.col("f.time_ms").alias("last"), F.expr(f"cast(array() as array<{piece}>)").alias("done"), empty.alias("now"))
+    found = F.aggregate("hits", zero, step, lambda a: F.flatten(F.concat(a["done"], F.array(a["now"]))))
     return rows.select("source_id", F.explode(found).alias("b")).select("source_id", "b.index", "b.time_ms")
 
 

@@ -34,6 +34,7 @@ from keyreel.sources import workspace as W
 # What candidates are made with, and the size that analysis reads.
 CANDIDATE_WIDTH, CANDIDATE_QUALITY, EXPORT_QUALITY = 640, 0.85, 0.92
 ANALYSIS_SIZE = (64, 36)
+TIMING = "source_id STRING, count BIGINT, timestamp_basis STRING"
 #: Frames that one task seeks before the next may take over.
 SEEKS = 32
 
@@ -135,6 +136,23 @@ def read_selections(spark: SparkSession, root: str) -> DataFrame:
     return W.read_selections(spark, f"{root}/{state['selections']}")
 
 
+def read_timing(spark: SparkSession, root: str) -> DataFrame:
+    """source_id, count, timestamp_basis of the extracted frames."""
+    return spark.read.schema(TIMING).json(f"{root}/{_state(root)['timing']}")
+
+
+def timestamp_basis(planned: DataFrame, frames: DataFrame, all_: bool) -> DataFrame:
+    """source_id, count, timestamp_basis: where the times of a source's frames come from. All frames have the
+    times that the probe lists, or where these are not as many, times by the rate of frames."""
+    if all_:
+        wanted = planned.groupBy("source_id").agg(F.bool_or(F.col("kind") == "all").alias("whole"), F.sum(F.size("times")).alias("n"))
+        basis = F.when(F.col("whole") & (F.col("count") != F.col("n")), "estimated-fps").otherwise("source-pts")
+    else:
+        wanted, basis = planned.select("source_id").distinct(), F.lit("planned-interval")
+    counts = frames.groupBy("source_id").agg(F.count("*").alias("count"))
+    return wanted.join(counts, "source_id", "left").withColumn("count", F.coalesce("count", F.lit(0))).select("source_id", "count", basis.alias("timestamp_basis"))
+
+
 def _store_frames(frames: DataFrame, root: str, **values: object) -> None:
     name = f"frames-{uuid.uuid4().hex}.jsonl"
     W.write_frames(frames, f"{root}/{name}", root)
@@ -310,8 +328,11 @@ def extract(spark: SparkSession, inputs: list[str] | DataFrame, root: str, how:
     state = {"probes": name, "sampling": vars(how), "candidates": output is None, "format": images.fmt, "detection_min_confidence": None}
     _store_frames(frames, root, **state)
     out = read_frames(spark, root)
+    timing = f"timing-{uuid.uuid4().hex}.json"
+    timestamp_basis(planned, out, how.all_).write.json(f"{root}/{timing}")
+    _update(root, timing=timing)
     if output:
-        W.write_json(f"{folder}/manifest.json", {"version": 1, "workspace": root, "frames": _state(root)["frames"], "probes": name, "sampling": vars(how), "format": images.fmt,
+        W.write_json(f"{folder}/manifest.json", {"version": 1, "workspace": root, "frames": _state(root)["frames"], "timing": timing, "probes": name, "sampling": vars(how), "format": images.fmt,
                                                  "quality": images.quality, "max_width": images.max_width, "count": out.count()})
     if most is not None and (n := out.count()) > most:
         raise FrameError("GUARD", f"{n} frames exceed the limit of {most}")

@@ -21,7 +21,7 @@ from keyreel.functions.naming import absolute_path, artifact_path
 FRAME_FILE = re.compile(r"^frame_\d{6}\.(jpg|jpeg|png|webp)$")
 WORKSPACE_FILES = {"manifest.json", "frames.jsonl", "selections.json"}
 #: Tables that the steps write under names of their own.
-TABLES = re.compile(r"^(frames|probes|scan|selections|exported|work)-[0-9a-f]{32}\.(jsonl|json|parquet)$")
+TABLES = re.compile(r"^(frames|probes|scan|selections|exported|work|timing)-[0-9a-f]{32}\.(jsonl|json|parquet)$")
 
 # The text fields that an asset of each kind must have, and those it may have.
 ASSETS = {

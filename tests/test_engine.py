@@ -11,7 +11,7 @@ from keyreel import cli, schemas
 from keyreel.errors import FrameError, as_frame_error
 from keyreel.functions import media, naming
 from keyreel.functions import taxonomy as T
-from keyreel.operators import scenes, scoring, vision
+from keyreel.operators import duplicates, scenes, scoring, vision
 from keyreel.operators import select as S
 from keyreel.plans import pipeline, sampling
 from keyreel.sources import media as M
@@ -258,6 +258,36 @@ def test_streaming_boundaries(spark, tmp_path):
     assert key(spark.table("found")) == key(batch) and key(batch)
 
 
+def test_many_boundaries(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", i, i * 400, float(rng.random())) for i in range(1, 5000)] + [("b", 0, 100, 0.9), ("b", 1, None, 0.9), ("b", 2, 1200, 0.9), ("c", 0, 0, 0.9)]
+    wanted = []
+    for s in "abc":
+        own = [r for r in rows if r[0] == s]
+        last = own[0][2]
+        for _, i, t, d in own[1:]:
+            if d >= 0.5 and t is not None and t - last >= 700:
+                wanted.append((s, i, t))
+                last = t
+    got = scenes.boundaries(spark.createDataFrame(rows, "source_id string, index int, time_ms bigint, difference double"), F.lit(0.5), 700).collect()
+    assert len(wanted) > 4 * scenes.PIECE and sorted(tuple(r) for r in got) == sorted(wanted)
+
+
+def test_duplicates_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    values = {s: rng.integers(0, 40, n).tolist() for s, n in (("a", 30), ("b", 4), ("c", 1))}
+    rows = [(s, f"{s}{i}", i, v) for s, own in values.items() for i, v in enumerate(own)]
+    gap = F.abs(F.col("a.v") - F.col("b.v"))
+    got = duplicates.nearest_earlier(spark.createDataFrame(rows, "source_id string, id string, index int, v int"), gap, gap <= 1).collect()
+    wanted = []
+    for s, own in values.items():
+        for i, v in enumerate(own):
+            near = [j for j in range(i) if abs(own[j] - v) <= 1]
+            wanted.append((s, f"{s}{i}", min((abs(o - v) for o in own[:i]), default=128), f"{s}{near[0]}" if near else None))
+    assert sorted(tuple(r) for r in got) == sorted(wanted)
+
+
 def test_errors_and_command_line(capsys):
     assert as_frame_error(ValueError("x")).code == "INTERNAL" and as_frame_error(KeyboardInterrupt()).exit_code == 6
     assert FrameError("GUARD", "m").to_dict()["exit_code"] == 7

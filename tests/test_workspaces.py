@@ -162,6 +162,25 @@ def test_extract_modes(spark, tools, videos, tmp_path):
     assert e.value.exit_code == 7
 
 
+def test_times_by_rate(spark, tools, videos, tmp_path):
+    probe = tmp_path / "ffprobe"  # lists one frame too many
+    probe.write_text(f"#!{sys.executable}\n" + PROBE.replace("n = round(float(sec) * float(fps))", "n = round(float(sec) * float(fps)) + 1"))
+    probe.chmod(0o755)
+    images = lambda t: P.Images(tools=t)
+    short = P.Tools(tools.ffmpeg, str(probe))
+    root = str(tmp_path / "w")
+    frames = P.extract(spark, videos[:1], root, P.Sampling(all_=True), images(short), output=str(tmp_path / "o"))
+    assert [r.time_sec for r in by_source(frames)["clip"]] == pytest.approx([i / 10 for i in range(20)])
+    assert [tuple(r) for r in P.read_timing(spark, root).collect()] == [("clip", 20, "estimated-fps")]
+    with pytest.raises(Exception) as e:
+        P.extract(spark, videos[:1], str(tmp_path / "x"), P.Sampling(all_=True), images(short))
+    assert as_frame_error(e.value).code == "EXTRACT_FAILED"
+    P.extract(spark, videos[:1], str(tmp_path / "y"), P.Sampling(all_=True), images(tools), output=str(tmp_path / "p"))
+    assert [r.timestamp_basis for r in P.read_timing(spark, str(tmp_path / "y")).collect()] == ["source-pts"]
+    P.extract(spark, videos, str(tmp_path / "z"), P.Sampling(count=2), images(tools))
+    assert sorted(tuple(r) for r in P.read_timing(spark, str(tmp_path / "z")).collect()) == [("clip", 2, "planned-interval"), ("clip-2", 2, "planned-interval")]
+
+
 def test_named_output(spark, tools, videos, tmp_path):
     out = tmp_path / "o"
     images = P.Images(template="{source}-{index}", tools=tools)
