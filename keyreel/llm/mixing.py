@@ -3,10 +3,11 @@
 Sizes are words, `[^\\x20\\x09-\\x0D]+`. Sources by code point, null last, get the weights 1, 2, 3,
 1, ...; they share the sum of all sizes by weight, but a target stops at `repeats` times its
 source's size and the excess goes to the others by weight. A source's stream is its
-documents in hashed order, over and over, cut at the target; so a document is taken
+documents in the order of md5 of the id and then of size, over and over, cut at the target; so a document is taken
 floor(target / source size) times, and those before the cut once more (the one at the cut
 in part). The stream's running totals come from totals of hash strata, then a window in
-each stratum: no window holds a whole source.
+each stratum: no window holds a whole source. Rows without an id, whose hashes are equal, have
+strata by size.
 
 The curriculum: source s is drawn with the density (1 - p) * start + p * end at the position
 p in 0..1 of training. Its integral is the share of s's stream used up to p; inverting the
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the hash that name a stratum: strata in order are the hash in order.
 STRATUM_DIGITS = 3
+#: The hash of null and empty ids.
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 #: start and end of the draw densities of the sources of weight 1, 2 and 3
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 
@@ -61,10 +64,18 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(F.greatest(start * start + slope * (start + end) * share, F.lit(0.0))) - start) / F.when(slope == 0, F.lit(1.0)).otherwise(slope))
 
 
+def stratum(h: Column, size: Column) -> Column:
+    """Strata that sort like (h, size): the first digits of h, but NO_ID's, which many rows may
+    have, is one for each size, and hashes above it with its first digits have their own."""
+    digits = F.substring(h, 1, STRATUM_DIGITS)
+    beyond = (digits == NO_ID[:STRATUM_DIGITS]) & (h > NO_ID)
+    return F.when(h == NO_ID, F.concat(h, F.lpad(size.cast("string"), 20, "0"))).when(beyond, F.concat(digits, F.lit("~"))).otherwise(digits)
+
+
 def planned(docs: DataFrame, repeats: float = 3.0) -> DataFrame:
     """docs with struct columns __size, __plan(source_size, target, taken, full, offset, part, start, end)."""
     d = docs.withColumn("__size", words(F.col("text"))).withColumn("__h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    d = d.withColumn("__s", F.substring("__h", 1, STRATUM_DIGITS)).withColumn("__src", F.col("source").cast("string"))
+    d = d.withColumn("__s", stratum(F.col("__h"), F.col("__size"))).withColumn("__src", F.col("source").cast("string"))
     strata = d.groupBy("__src", "__s").agg(F.sum("__size").alias("sum"))
     sources = strata.groupBy(F.col("__src").alias("source")).agg(F.sum("sum").alias("source_size"))
     plan = targets(sources, repeats)

@@ -4,8 +4,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from keyreel.llm.mixing import mix_report, mixed
+from keyreel.llm.mixing import NO_ID, mix_report, mixed, stratum
 from keyreel.llm.packing import boundaries, histogram, packed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,6 +67,20 @@ def test_mix(spark):
     assert words == +taken
 
 
+def test_rows_without_an_id_have_many_strata(spark):
+    ids = spark.range(300_000).selectExpr("cast(id as string) as i").where("md5(cast(i as binary)) like 'd4%'").unionByName(spark.createDataFrame([("",)] * 6, "i string")).withColumn("size", F.expr("pmod(xxhash64(i), 9)").cast("long"))
+    none = spark.range(300).selectExpr("'' as i", "id % 100 as size")
+    rows = ids.unionByName(none).select(F.md5(F.col("i").cast("binary")).alias("h"), "size").withColumn("s", stratum(F.col("h"), F.col("size"))).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: (r.h, r.size))] == sorted(r.s for r in rows)
+    most = Counter(r.s for r in rows)
+    assert max(most[s] for s in most if s.startswith(NO_ID)) <= 9 and f"{NO_ID[:3]}~" in most
+    docs = spark.createDataFrame([(None if i % 3 else i, "w " * (i % 7), "a" if i % 2 else None) for i in range(90)], "doc_id long, text string, source string")
+    got = [tuple(r) for r in mix_report(docs).collect()]
+    assert len(got) == 90 and sorted(map(str, got)) == sorted(str(tuple(r)) for r in mix_report(docs.repartition(7)).collect())
+    out = packed(docs, buckets=3, budget=30).select("n_tokens", "bucket_len", "batch", "slot").collect()
+    assert len(out) == len({r[1:] for r in out}) == 90
+
+
 def test_mix_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_report(docs).count() == 0
