@@ -7,7 +7,8 @@ at most about the square root of twice all tokens. A dynamic program chooses at
 (lower hull of lines, in O(lengths * buckets)). Every text is padded to its bucket's
 boundary, and a bucket's texts, in hashed order, form batches of as many as fit `budget`
 padded tokens, but one at least. Ranks come from counts of strata and a window in each
-stratum, so no task holds a whole bucket.
+stratum, so no task holds a whole bucket. Strata are by a hash of id, length and text: rows that share
+an id, or have none, are in one only where their texts are equal, too.
 
 Null and empty texts have length 1, the end mark. Repeated rows are packed each for itself.
 An empty table gives an empty result. Only doc_id and text are read.
@@ -88,18 +89,18 @@ def histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
 
 def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """doc_id, n_tokens, bucket_len (padded length), padding, batch (within the bucket), slot."""
-    d = cut_table(docs.select("doc_id", (words(F.col("text")) + 1).alias("n")))
+    d = cut_table(docs.select("doc_id", (words(F.col("text")) + 1).alias("n"), F.xxhash64(F.col("text").cast("string")).alias("t")))
     lengths, counts = histogram(d.select("n"))
     ends = boundaries(lengths, counts, buckets) or [1]
     size = F.lit(ends[-1])
     for e in reversed(ends[:-1]):
         size = F.when(F.col("n") <= e, F.lit(e)).otherwise(size)
-    d = d.withColumn("bucket_len", size.cast("long")).withColumn("h", F.xxhash64("doc_id", "n"))
+    d = d.withColumn("bucket_len", size.cast("long")).withColumn("h", F.xxhash64("doc_id", "n", "t"))
     d = d.withColumn("s", F.pmod("h", F.lit(max(STRATA, sum(counts) // PER_STRATUM))).cast("int"))
     strata = d.groupBy("bucket_len", "s").agg(F.count("*").alias("c"))
     before = Window.partitionBy("bucket_len").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     strata = strata.select("bucket_len", "s", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("bucket_len", "s").orderBy("h", "doc_id", "n")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket_len", "s").orderBy("h", "doc_id", "n", "t")) - 1
     d = d.withColumn("rank", rank).join(strata, ["bucket_len", "s"])
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     at = F.col("before") + F.col("rank")
