@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from keyreel.llm.pii import KINDS, found, redacted, reliabilities
+from keyreel.llm.pii import ANY, KINDS, candidates, found, redacted, reliabilities
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -61,6 +61,21 @@ def test_test_table(spark):
     assert kinds.count("card") == sum(r.n_card for r in got)
 
 
+def test_most_texts_are_searched_once(spark):
+    """Every other search stands behind the one for ANY, which no kind's match can do without."""
+    tree = spark.createDataFrame([], "text string").select(candidates(F.col("text")).alias("c"))._jdf.queryExecution().analyzed().expressions().apply(0).children().apply(0)
+    assert tree.nodeName() == "CaseWhen" and tree.children().apply(0).toString().endswith(f", {ANY})")
+    # One mark alone, at the start, the end and between letters of two and four bytes.
+    alone = ["a@b.co", "1.2.3.4", "4111111111111111", "+49 30 1234567", "token=abcdef0123456789xyz", "me [at] host (dot) org", "me(at)host(dot)org"]
+    assert all(re.search(ANY, t) for t in alone)
+    rows = [(10 * i + j, t) for i, a in enumerate(alone) for j, t in enumerate([a, "é𝔘 " + a, a + " é𝔘", "plain words"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, found(docs).collect())
+    got = {r.doc_id: [KINDS[x.kind] for x in r.c] for r in docs.select("doc_id", candidates(F.col("text")).alias("c")).collect()}
+    for i, kind in enumerate(["email", "ip", "card", "phone", "secret", "masked", "masked"]):
+        assert all(kind in got[10 * i + j] for j in range(3)) and got[10 * i + 3] == []
+
+
 def test_redacted(spark):
     rows = [(1, 'x 1.2.3.4 é a@b.co. token = "0123456789abcdef0123"', 9), (2, "nothing", 7), (3, None, 0)]
     docs = spark.createDataFrame(rows * 30, "doc_id long, text string, n_chars long")
