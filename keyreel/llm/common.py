@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 #: Keys with more than one in HEAVY of all rows are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 1000
 CHUNK = 500_000
+#: Hadoop starts a process for each file and folder it makes on a local file system. Tables of the steps have no
+#: checksum file beside each file, as Parquet's pages have checksums of their own, which are verified when read.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+VERIFIED = {"parquet.page.write-checksum.enabled": "true", "parquet.page.verify-checksum.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +50,8 @@ def cut_table(df: DataFrame, parts: int | None = None) -> DataFrame:
     read alone, and drop() deletes it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/keyreel-{uuid.uuid4().hex}.parquet"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.options(**PLAIN, **VERIFIED).parquet(path)
+    out = spark.read.schema(df.schema).options(**VERIFIED).parquet(path)
     out._keyreel_path = path
     return out
 

@@ -252,12 +252,23 @@ def _emit(n_buckets: int, num: int, den: int):
     return run
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of keys (n, 2), and for each row which of them it is."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    k = keys[order]
+    fresh = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+    which = np.empty(len(k), np.int32)
+    which[order] = np.cumsum(fresh) - 1
+    return k[fresh], which
+
+
 def _meet(s: np.ndarray, c: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of signatures s of classes c (n, 2): which to put out, and one class of each signature with
+    """Of signatures s of classes c: which to put out, and one class of each signature with
     whether it has been put out. A signature's classes are put out when there are two of them."""
-    order = np.lexsort((~told, c[:, 1], c[:, 0], s))
+    order = np.lexsort((~told, c, s))
     s, c, told = s[order], c[order], told[order]
-    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]).any(axis=1)])
+    del order
+    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
     s, c, told = s[fresh], c[fresh], told[fresh]
     first = np.concatenate([[True], s[1:] != s[:-1]])
     alone = first & np.concatenate([first[1:], [True]])
@@ -269,9 +280,11 @@ def _meet(s: np.ndarray, c: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, n
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket, which come one after another: the signatures with two classes or more.
 
-    In buckets of more than one chunk, a row may come twice."""
+    In buckets of more than one chunk, a row may come twice. A signature holds 13 bytes: its class is
+    told by its place among the keys of the bucket's classes."""
     sig: list[np.ndarray] = []
-    cls: list[np.ndarray] = []
+    own: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
     flags: list[np.ndarray] = []
     bucket, held = None, 0
 
@@ -279,17 +292,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(blob)
         n, names = np.frombuffer(view[:16], "<i8").tolist()
         at = 16 + 16 * names
-        key = np.frombuffer(view[16:at], np.int64).reshape(names, 2)
         width = 2 if names <= 65535 else 4
-        own = np.frombuffer(view[at : at + width * n], f"<u{width}")
+        own.append(np.frombuffer(view[at : at + width * n], f"<u{width}").astype(np.int32) + np.int32(sum(map(len, keys))))
+        keys.append(np.frombuffer(view[16:at], np.int64).reshape(names, 2).copy())  # not a view: the blob can go
         sig.append(_unplane(view[at + width * n :], n)[0])
-        cls.append(key[own])
         flags.append(np.zeros(n, bool))
 
     def reduced(more: bool) -> pa.RecordBatch:
-        out, s, c, (first, told) = _meet(np.concatenate(sig), np.concatenate(cls), np.concatenate(flags))
-        sig[:], cls[:], flags[:] = ([s[first]], [c[first]], [told[first]]) if more else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(s[out].view(np.int64)), pa.array(c[out, 0]), pa.array(c[out, 1])], ["sig", "k1", "k2"])
+        key, which = _distinct(np.concatenate(keys))
+        c = which[np.concatenate(own)]
+        own.clear()
+        s, told = np.concatenate(sig), np.concatenate(flags)
+        for x in (sig, keys, flags):
+            x.clear()
+        out, s, c, (first, told) = _meet(s, c, told)
+        if more:
+            used, at = np.unique(c[first], return_inverse=True)
+            for x, y in ((sig, s[first]), (own, at.astype(np.int32)), (keys, key[used]), (flags, told[first])):
+                x.append(y)
+        met = key[c[out]]
+        return pa.RecordBatch.from_arrays([pa.array(s[out].view(np.int64)), pa.array(met[:, 0]), pa.array(met[:, 1])], ["sig", "k1", "k2"])
 
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -392,7 +414,8 @@ def _met(pairs: DataFrame, of: DataFrame, total: int, test) -> DataFrame:
     both = hubs.unionByName(dealt.join(of.withColumnRenamed("node", "b"), "b")).select("a", "salt", "b", *cols)
     n_tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = both.repartition(n_tasks, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", *cols).mapInArrow(test, "a long, b long")
+    # Many tasks for the work, but few files for the small rows that are left.
+    return rows.select("a", "b", *cols).mapInArrow(test, "a long, b long").repartition("a", "b")
 
 
 def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -527,7 +550,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         n_buckets = max(8, math.ceil(total / 2_000_000))
     reps = rows.where("k1 <> 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = cut_table(reps.withColumn("node", F.monotonically_increasing_id()))
-    met = cut_table(candidates(docs, n_buckets, num, den))
+    met = candidates(docs, n_buckets, num, den)
     named = cut_table(_drop_alone(met.join(reps.select("k1", "k2", "node"), ["k1", "k2"]), num, den, "k1", "k2").select("sig", "node"))
     drop(met)
     n = named.count()

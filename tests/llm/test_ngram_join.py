@@ -152,3 +152,39 @@ def test_pairs_of_a_large_group_come_through(spark, monkeypatch):
     rows = [(i, " ".join(base[:-1] + ["end%d" % i])) for i in range(40)] + [(100 + i, " ".join("%s-%d" % (w, i) for w in base)) for i in range(5)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(5)}
+
+
+def test_reducer_holds_few_bytes_a_signature():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from keyreel.llm import ngram_join as m
+
+    rng = np.random.default_rng(5)
+    blobs = []
+    for _ in range(40):
+        s, names = np.sort(rng.integers(0, 1 << 48, 10_000).astype(np.uint64)), rng.integers(1, 1 << 60, (1000, 2))
+        blobs.append(np.array([len(s), 1000], "<i8").tobytes() + names.tobytes() + rng.integers(0, 1000, len(s)).astype("<u2").tobytes() + m._planes(s))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 40, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    tracemalloc.start()
+    try:
+        for _ in m._shared(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 60 * 40 * 10_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_that_pass_are_few_files(spark):
+    from keyreel.llm import ngram_join as m
+
+    pairs = spark.range(1, 400).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    texts = spark.range(0, 400).select(F.col("id").alias("node"), F.lit("one two three four five six").alias("text"))
+    good = m._met(pairs, texts, 399, m._verify(75, 100))
+    t = m.cut_table(good)
+    try:
+        assert t.count() == 399 and len(t.inputFiles()) == 1
+    finally:
+        m.drop(t)
